@@ -47,6 +47,14 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have at most so many rows: whole texts may be long, and a batch is held in
+    memory on both sides. It lowers the session's setting and never raises it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about max_bytes (at least one row each), so that
     memory is bounded by bytes, not by rows."""

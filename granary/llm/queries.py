@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, chat, exact_dedup, langid, url_filter
+from granary.llm import bpe, chat, exact_dedup, fingerprint, langid, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
     "op2_chat_format": chat.query,
+    "op3_fingerprint": fingerprint.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_url_filter": url_filter.query,
     "op9_language_id": langid.query,
