@@ -29,19 +29,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import chunks, text_or_empty
+from granary.llm.common import chunks, small_batches, text_or_empty
 
 #: Bytes of Arrow data that are worked on at once.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+#: A worker keeps the ids of so many words at most from one chunk to the next; then it starts anew.
+KEPT_WORDS = 250_000
+#: So many words are encoded in one call, as the library's results are large.
+CALL_WORDS = 20_000
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: The words of byte-level BPE. Java's \s is ASCII only, so white space is spelt out.
+#: The words of byte-level BPE, the commonest kind first; only the kinds after the third overlap with
+#: others. Java's \s is ASCII only, so white space is spelt out.
 WORDS = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)"
+    rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+#: The first of the stable ranges, which holds most texts and is quick to test for.
+LATIN = r"\x{0}-\x{220}"
 #: Ranges whose letters, numbers and white space every Unicode version since 4 agrees on.
 STABLE = (
-    r"\x{0}-\x{220}\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{410}-\x{44F}\x{2000}-\x{200A}\x{2010}-\x{2027}"
+    LATIN + r"\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{410}-\x{44F}\x{2000}-\x{200A}\x{2010}-\x{2027}"
     r"\x{2030}-\x{2052}\x{20AC}\x{3000}-\x{3003}\x{3041}-\x{3094}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}"
 )
 
@@ -93,12 +100,33 @@ def _list_offsets(column: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
 
+@lru_cache(maxsize=2)
+def _kept(path: str) -> dict[str, bytes]:
+    return {}
+
+
+def _encode_distinct(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word, as the bytes of int32 numbers."""
+    kept = _kept(path)
+    if len(kept) > KEPT_WORDS:
+        kept.clear()
+    new = [w for w in words if w not in kept]
+    found: dict[str, bytes] = {}
+    for i in range(0, len(new), CALL_WORDS):
+        part = new[i : i + CALL_WORDS]
+        for w, e in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
+            found[w] = np.array(e.ids, np.int32).tobytes()
+    out = [found.get(w) or kept.get(w, b"") for w in words]
+    kept.update((w, b) for w, b in found.items() if len(w) < 64)
+    return out
+
+
 def _encode(words: pa.Array, path: str) -> pa.Array:
     """A list of words per document becomes a list of ids per document."""
     coded = pc.list_flatten(words).dictionary_encode()
-    encoded = [e.ids for e in _tokenizer(path).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    lengths = np.fromiter(map(len, encoded), np.int32, len(encoded))
-    flat = np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths.sum()))
+    encoded = _encode_distinct(coded.dictionary.to_pylist(), path)
+    lengths = np.fromiter(map(len, encoded), np.int32, len(encoded)) // 4
+    flat = np.frombuffer(b"".join(encoded), np.int32)
     table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
     at = coded.indices.to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(lengths[at])])
@@ -129,6 +157,7 @@ def _mapped(df: DataFrame, read: str, write: str, kind: T.DataType, f: Callable[
             made = f(table[read].combine_chunks(), path)
             yield from table.select(names).append_column(write, made).combine_chunks().to_batches()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(write, kind)]))
 
 
@@ -136,7 +165,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     """docs with a column of ids (array<int>)."""
     path = path or default_path()
     text = text_or_empty(text_col)
-    whole = text.rlike(f"[^{STABLE}]")
+    whole = text.rlike(f"[^{LATIN}]") & text.rlike(f"[^{STABLE}]")
     for special in _specials(path):
         whole = whole | text.contains(special)
     words = F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
