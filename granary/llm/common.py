@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +50,12 @@ def text_or_empty(name: str) -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches have at most so many rows: whole texts may be long, and a batch is held in
-    memory on both sides. It lowers the session's setting and never raises it."""
+    memory on both sides. It lowers the session's setting and never raises it. Python workers also
+    get this package's folder on their path, for sessions that were started elsewhere."""
+    at = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if at not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), at) if x)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
