@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import bloom
-from granary.llm.common import text_or_empty
+from granary.llm.common import materialise, text_or_empty
 
 PREFIX_CHARS = 64
 
@@ -64,7 +64,9 @@ def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256 (null for texts that the
     refinement shows to be unique, unless digest_all)."""
     rows = _refined(docs, text_col, id_col, digest_all).select(id_col, "__hit", "__sha")
-    groups = _kept(rows, id_col).where("__size > 1")
+    # A written table, not the aggregate itself: the join then deals out both sides anew, and
+    # Spark can split a large group's rows over several tasks.
+    groups = materialise(_kept(rows, id_col).where("__size > 1"), "copies")
     return rows.join(groups, "__sha", "left").select(
         id_col,
         F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep")).alias("keep_id"),
