@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, chat, exact_dedup, fingerprint, langid, near_dedup, url_filter
+from granary.llm import bpe, chat, exact_dedup, fingerprint, langid, near_dedup, pii, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": url_filter.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": langid.query,
+    "op10_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
