@@ -169,19 +169,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and accepted."""
+    """docs with lang_pred, score and accepted; the text column must be one of strings."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS rows, one column a language: bounded
     made = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("accepted", T.BooleanType())]
     fields = [x for x in docs.schema.fields if x.name not in dict(made)]
     names = [x.name for x in fields]
-    rows = docs.select(*[F.col(f"`{x}`") for x in names], F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{x}`") for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for table in chunks(batches, CHUNK_BYTES):
-            texts = table["__text"].to_pylist()
+            texts = table[text_col].to_pylist()
             known = [i for i, t in enumerate(texts) if t and m.langs and any(map(str.isalpha, t))]
             lang, score, accepted = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             p = m.probabilities([texts[i].encode() for i in known])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, chat, exact_dedup, fingerprint, langid, near_dedup, pii, url_filter
+from granary.llm import bpe, chat, exact_dedup, fingerprint, html_text, langid, near_dedup, packing, pii, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": fingerprint.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_url_filter": url_filter.query,
+    "op6_html_text": html_text.query,
+    "op7_packing": packing.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": langid.query,
     "op10_pii": pii.query,
