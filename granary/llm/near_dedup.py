@@ -220,7 +220,10 @@ def _with_sets(docs: DataFrame, members: DataFrame, config: Config) -> DataFrame
             yield from out.append_column("registers", pa.array(made, pa.binary())).combine_chunks().to_batches()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    rows = docs.join(members, "id").select(*names, "text")
+    # Most texts are no members': a filter of fixed size keeps them out of the shuffle.
+    wanted = bloom.build(members.select(F.xxhash64("id").alias("__key")).distinct(), "__key", bloom.MAX_BLOCKS)
+    likely = bloom.probe(docs.withColumn("__key", F.xxhash64("id")), "__key", wanted, "__maybe", bloom.MAX_BLOCKS)
+    rows = likely.where("__maybe").select("id", "text").join(members.hint("merge"), "id").select(*names, "text")
     return rows.mapInArrow(run, f"{kinds}, hashes binary, registers binary").where(F.length("hashes") > 0)
 
 
@@ -274,7 +277,9 @@ def _candidate_groups(classes: DataFrame, config: Config) -> DataFrame:
     buckets = materialise(
         keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot"), "buckets"
     )
-    edges = keyed.join(buckets, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    filter_ = bloom.build(buckets.select(F.col("key").alias("__key")), "__key", bloom.MAX_BLOCKS)
+    shared = bloom.probe(keyed, "key", filter_, "__maybe", bloom.MAX_BLOCKS).where("__maybe")
+    edges = shared.select("id", "key").join(buckets, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     groups = components(edges).select(F.col("node").alias("id"), F.col("label").alias("grp"))
     return groups.join(classes.select("id", "n"), "id")
 
