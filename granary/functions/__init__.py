@@ -1,0 +1 @@
+"""Column types and the expressions that coerce values to them."""

@@ -1,0 +1 @@
+"""Relational and spatial operators as functions on DataFrames and Columns."""

@@ -1,0 +1 @@
+"""Where tables come from and live: workspaces, layouts, CSV files."""

@@ -1,0 +1 @@
+"""Incremental loading. The dialect itself has no streams."""
