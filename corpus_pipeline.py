@@ -11,8 +11,8 @@ from granary.llm.common import materialise
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; a null lang becomes the predicted one."""
-    found = langid.classify(docs, langid.fit(docs)).where("accepted")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.classify(docs, langid.fit(docs), names=("__lang", "__score", "__accepted")).where("__accepted")
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def exact_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

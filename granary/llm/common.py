@@ -30,11 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
+#: The folders that this process has written.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``materialise`` has written in this process. Only for when no DataFrame
+    that reads them will run again."""
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: it cuts the lineage, is
-    computed once, and outlives any executor. The files stay until the folder is cleaned."""
+    computed once, and outlives any executor. The files stay until ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}/{name}"
+    top = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    _WRITTEN.append(top)
+    path = f"{top}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +78,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about max_bytes (at least one row each), so that
     memory is bounded by bytes, not by rows."""
+    try:
+        yield from _regrouped(batches, max_bytes)
+    finally:
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from granary.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+BITS = [
+    "a", "b.c", "@", ".", "-", "1", "22", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 123-4567", "+49 ", "1.2.3.4", "256.1.1.1", "x@y.zz",
+    "_", "%", " ", "é", "😀", "(", "0", "555-12-1234", "password=ab12cd34ef56gh78", 'token = "aa11bb22cc33dd44ee"', "joe (at) mail (dot) com", "\n",
+]
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def valid(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in v.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d)
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PLAIN.items() for m in re.finditer(p, text) if valid(k, m[0])]
+
+
+def held(df):
+    rows = pii.find(df).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), pii.listing(pii.BASE_KINDS).alias("base"), pii.listing((*pii.BASE_KINDS, *pii.MORE_KINDS)).alias("all"))
+    for r in rows.collect():
+        assert r.base == ",".join(brute(r.text)), repr(r.text[:120])
+        assert r.all.startswith(r.base)
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.all.split(",") if x]
+        assert all(0 <= a < b <= len(r.text) for a, b in spans)
+
+
+def test_random_texts(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    held(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_documents(spark, sf_dir):
+    held(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def test_odd(odd, none):
+    held(odd)
+    assert pii.find(none).count() == 0 and pii.redact(none).count() == 0
+    assert pii.redact(odd).columns == odd.columns and pii.redact(odd).where("id = 'mine'").count() == odd.count()
+    assert pii.redact(odd).where("text is null").count() == 1
+
+
+def test_very_long_texts(spark):
+    """Patterns neither recurse nor take quadratic time."""
+    texts = ["1" * 100_000, "a" * 100_000 + "@b.c", "1." * 50_000, "a@b.c " * 3_000, "+1" + " " * 100_000, "a-" * 50_000, "1 " * 50_000, "ab1/" * 25_000]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.listing(pii.BASE_KINDS).alias("s"))
+    got = {r.doc_id: r.s for r in rows.collect()}
+    assert got[0] == "" and got[1] == "email:0:100004" and got[3].startswith("email:0:5,email:6:11,") and got[3].count(",") == 2_999
+    assert got[2].split(",")[-1] == "ip:99992:99999" and got[6] == ""
+
+
+def test_redact(spark):
+    rows = [
+        (1, "mail a@b.cd, call +1 (555) 123-4567!"), (2, "card 4111 1111 1111 1111 ip 1.2.3.4"), (3, "nothing é😀"), (4, None),
+        (5, "é😀 a@b.cd😀"), (6, "+4111 1111 1111 1111 end"), (7, "1.2.3.4"),
+    ]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: "mail <EMAIL>, call <PHONE>!", 2: "card <CARD> ip <IP>", 3: "nothing é😀", 4: None, 5: "é😀 <EMAIL>😀", 6: "+<CARD> end", 7: "<IP>",
+    }
+
+
+def test_supervision_finds_more(spark):
+    """Token-like strings in telling contexts are accepted; versions, pages and dates are not."""
+    good = [f'word password=ab{i}cd34ef56gh7{i} and token = "f{i}0a9b8c7d6e5f4a3b2c{i}d" end' for i in range(40)]
+    bad = [f"see version 1-2-3-4-{i} on page 2001-10-1{i % 10} of build release-{i}-notes-abcdef, vol. 1234567{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    rows = pii.find(df).select("doc_id", F.size("__secret").alias("n"), F.size("__number").alias("m")).collect()
+    assert sum(r.n for r in rows if r.doc_id < 40) >= 76
+    assert sum(r.n + r.m for r in rows if r.doc_id >= 40) <= 8
+    assert pii._em({(1, 1, 0, 1, 1): 50, (0, -1, 0, -1, 0): 50})[(1, 1, 0, 1, 1)] > 0.9
