@@ -237,15 +237,10 @@ class Session:
     def _delete(self, d: n.Delete) -> int:
         catalog = self._need_catalog()
         self._flush()
-        source = self._source(d.table, None)
         catalog.table(d.table)
         with self.journal.transaction("DELETE", d.table) as txn, self.locks.writing(d.table, txn):
-            df = source.df.alias(source.label)
-            if d.where is None:
-                keep = df.limit(0)
-            else:
-                keep = df.where(~F.coalesce(predicates.condition(Scope.of(source), d.where), F.lit(False)))
-            return catalog.delete(d.table, keep)
+            source = self._source(d.table, None)
+            return catalog.delete(d.table, None if d.where is None else predicates.condition(Scope.of(source), d.where))
 
     def ingest(self, path: str, table: str, progress=None, spatial_columns: tuple[str, str] | None = None) -> int:
         """Load a CSV file; see ``csv_source.ingest``."""

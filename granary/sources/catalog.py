@@ -1,10 +1,10 @@
 """Workspaces and the catalog of tables in each.
 
-A workspace is a folder with a manifest and one folder a table. A table's rows are in Parquet folders
-that never change; the manifest names those of its present version. INSERT adds a folder, DELETE and
-compaction replace them, and each becomes visible when the manifest is replaced: a reader sees one
-version, and what fails half way is never seen. Folders of old versions stay until ``vacuum``, so that
-queries that began before still find them.
+A workspace is a folder with a manifest and one folder a table. A table's rows are in Parquet files
+that never change; the manifest names those of its present version. INSERT adds a folder of files,
+DELETE writes only the files that hold matching rows anew, compaction writes all, and each becomes
+visible when the manifest is replaced: a reader sees one version, and what fails half way is never
+seen. Files of old versions stay until ``vacuum``, so that queries that began before still find them.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,17 @@ COMPACT_AFTER = 50
 DEFAULT_WORKSPACE = "default_testing"
 
 
+@dataclass(frozen=True)
+class Part:
+    """A folder of files, or those of its files that still count, by their paths below it."""
+
+    path: str
+    files: list[str] | None = None
+
+    def to_json(self) -> dict:
+        return {"path": self.path} | ({"files": self.files} if self.files is not None else {})
+
+
 @dataclass(frozen=True)
 class Table:
     """kind: SEQUENTIAL, BTREE or HASH; key: the column of its layout; spatial: the X and Y column;
@@ -38,7 +51,7 @@ class Table:
     kind: str = "SEQUENTIAL"
     key: str = ""
     spatial: tuple[str, str] | None = None
-    parts: list[str] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
     added: int = 0
     marks: dict[str, int] = field(default_factory=dict)
 
@@ -49,14 +62,14 @@ class Table:
     def to_json(self) -> dict:
         return {
             "fields": [{"name": f.name, "type": f.type} | ({"size": f.size} if f.size else {}) for f in self.fields],
-            "layout": self.kind, "key": self.key, "spatial": self.spatial, "parts": self.parts, "added": self.added, "marks": self.marks,
+            "layout": self.kind, "key": self.key, "spatial": self.spatial, "parts": [p.to_json() for p in self.parts], "added": self.added, "marks": self.marks,
         }
 
     @staticmethod
     def from_json(name: str, found: dict) -> Table:
         fields = [Field(f["name"], f["type"], f.get("size")) for f in found["fields"]]
         spatial = tuple(found["spatial"]) if found["spatial"] else None
-        return Table(name, fields, found["layout"], found["key"], spatial, found["parts"], found["added"], found.get("marks", {}))
+        return Table(name, fields, found["layout"], found["key"], spatial, [Part(**p) for p in found["parts"]], found["added"], found.get("marks", {}))
 
 
 class Workspaces:
@@ -121,30 +134,58 @@ class Catalog:
     def read(self, name: str, bucket_key: object = None) -> DataFrame:
         """The rows of a table. bucket_key: a value of the key; with a hash layout only its folder is read."""
         table = self.table(name)
-        schema = schema_of(table.fields)
-        if not table.parts:
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(layout.BUCKET, T.IntegerType())]) if table.kind == "HASH" else schema)
-        frames = [reader.parquet(*[f"{self.path}/{p}" for p in table.parts])] if table.kind != "HASH" else [
-            reader.parquet(f"{self.path}/{p}") for p in table.parts
-        ]
-        df = frames[0]
-        for more in frames[1:]:
-            df = df.unionByName(more)
+        df = self._scan(table, table.parts)
         if table.kind != "HASH":
             return df
-        if bucket_key is not None:
-            kind = next(f.struct_field().dataType for f in table.fields if f.name == table.key)
+        if bucket_key is not None and table.parts:
+            own = next(f for f in table.fields if f.name == table.key)
             try:
-                key = F.lit(converted(bucket_key, next(f for f in table.fields if f.name == table.key))).cast(kind)
+                key = F.lit(converted(bucket_key, own)).cast(own.struct_field().dataType)
                 df = df.where(F.col(layout.BUCKET) == layout.bucket_of(key))
             except AnalysisError:
                 pass  # a value that the key cannot have: the condition itself finds nothing
         return df.drop(layout.BUCKET)
 
-    def _write(self, table: Table, df: DataFrame) -> str:
-        part = f"{table.name}/{uuid.uuid4().hex}"
-        layout.writer(df).parquet(f"{self.path}/{part}")
+    def _scan(self, table: Table, parts: list[Part], file: str | None = None) -> DataFrame:
+        """The rows of some parts, with the bucket if the layout has one, and with their file's path in a
+        column if it gets a name."""
+        schema = schema_of(table.fields)
+        if table.kind == "HASH":
+            schema = T.StructType([*schema.fields, T.StructField(layout.BUCKET, T.IntegerType())])
+        if not parts:
+            df = self.spark.createDataFrame([], schema)
+            return df.withColumn(file, F.lit("")) if file else df
+        frames = []
+        # Buckets are in the names of folders, which count from each part's own.
+        for group in [[p] for p in parts] if table.kind == "HASH" else [parts]:
+            reader = self.spark.read.schema(schema)
+            if table.kind == "HASH":
+                reader = reader.option("basePath", f"{self.path}/{group[0].path}")
+            df = reader.parquet(*[x for p in group for x in self._paths(p)])
+            frames.append(df.select("*", F.col("_metadata.file_path").alias(file)) if file else df)
+        return reduce(DataFrame.unionByName, frames)
+
+    def _paths(self, part: Part) -> list[str]:
+        folder = f"{self.path}/{part.path}"
+        return [folder] if part.files is None else [f"{folder}/{f}" for f in part.files]
+
+    def _files(self, part: Part) -> list[str]:
+        """The files of a part, by their paths below its folder."""
+        if part.files is not None:
+            return part.files
+        out, folders = [], [""]
+        while folders:
+            below = folders.pop()
+            for n, is_folder, _ in self.files.children(f"{self.path}/{part.path}/{below}"):
+                if is_folder:
+                    folders.append(f"{below}{n}/")
+                elif n.endswith(".parquet"):
+                    out.append(f"{below}{n}")
+        return sorted(out)
+
+    def _write(self, table: Table, df: DataFrame) -> Part:
+        part = Part(f"{table.name}/{uuid.uuid4().hex}")
+        layout.writer(df).parquet(f"{self.path}/{part.path}")
         return part
 
     def _as_hash(self, table: Table, df: DataFrame) -> DataFrame:
@@ -198,17 +239,42 @@ class Catalog:
     def count(self, name: str) -> int:
         return self.read(name).count()
 
-    def delete(self, name: str, keep: DataFrame) -> int:
-        """Leave only the rows of keep. Returns how many are gone; none gone leaves the version as it is."""
-        before, after = self.count(name), keep.count()
-        if after < before:
-            self.replace_rows(name, keep)
-        return before - after
+    def delete(self, name: str, matches: Column | None) -> int:
+        """Remove the rows that match, or all. Only files that hold such rows are written anew. Returns
+        how many rows are gone; none gone leaves the version as it is."""
+        table, file = self.table(name), "__file"
+        if matches is None:
+            n = self.count(name)
+            if n:
+                self._save(replace(table, parts=[], added=0))
+            return n
+        rows = self._scan(table, table.parts, file).alias(table.name)
+        # As many rows as files that hold a match.
+        hit = {r[file]: r["n"] for r in rows.where(matches).groupBy(file).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not hit:
+            return 0
+        touched, rest = [], []
+        for part in table.parts:
+            files = self._files(part)
+            mine = [f for f in files if any(unquote(h).endswith(f"/{part.path}/{f}") for h in hit)]
+            if mine:
+                touched.append(Part(part.path, mine))
+            if len(mine) < len(files):
+                rest.append(Part(part.path, [f for f in files if f not in mine]) if mine else part)
+        keep = self._scan(table, touched).alias(table.name).where(~F.coalesce(matches, F.lit(False)))
+        if table.kind == "HASH":
+            keep = keep.drop(layout.BUCKET)
+        keep = keep.select(*[F.col(f.name) for f in table.fields])
+        n = keep.count()
+        if n:
+            rest.append(self._write(table, layout.arranged(keep, table.kind, table.key, table.spatial, n)))
+        self._save(replace(table, parts=rest))
+        return sum(hit.values())
 
     def vacuum(self, name: str) -> int:
         """Remove folders of old versions; only while nothing reads them."""
         table = self.table(name)
-        current = {p.split("/")[-1] for p in table.parts}
+        current = {p.path.split("/")[-1] for p in table.parts}
         old = [n for n, is_folder, _ in self.files.children(f"{self.path}/{name}") if is_folder and n not in current]
         for n in old:
             self.files.remove(f"{self.path}/{name}/{n}")
@@ -226,9 +292,6 @@ class Catalog:
         return self.spark.createDataFrame(rows, "position int, column string, type string, size int")
 
     def inspect(self, name: str) -> DataFrame:
-        """Files of the present version with their bytes and rows."""
-        if not self.table(name).parts:
-            return self.spark.createDataFrame([], "file string, bytes bigint, rows bigint")
-        df = self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.table(name).parts])
-        file = F.col("_metadata.file_path").alias("file")
-        return df.groupBy(file, F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
+        """Files of the present version with their rows."""
+        rows = self._scan(self.table(name), self.table(name).parts, "file")
+        return rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))

@@ -5,7 +5,7 @@ Quoted fields may hold line breaks, so a file is one task; many files load in pa
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,33 +108,34 @@ def load_points(
     return with_row_numbers(rows).select(F.col("ID").cast("int"), "Name", F.col("Lat").cast("float"), F.col("Lon").cast("float"))
 
 
-#: The demonstration tables: file, columns with the column of the file they come from, spatial pair.
-#: "#" is the row number.
+#: The demonstration tables, each with its columns, the column of its CSV file that each
+#: comes from ("#" is the row number), and its spatial pair.
 DEMO = {
-    "Canciones": ("song_data.csv", [
+    "Canciones": ([
         ("ID", "INTEGER", None, "#"), ("Year", "INTEGER", None, "year"), ("Country", "STRING", 20, "country"),
         ("Artist", "STRING", 20, "artist_name"), ("Song", "STRING", 30, "song_name"), ("Points", "INTEGER", None, "final_total_points"),
     ], None),
-    "Ciudades": ("wikipedia_cities_full_clean_143.csv", [
+    "Ciudades": ([
         ("ID", "INTEGER", None, "#"), ("Ciudad", "STRING", 20, "City"), ("Lat", "FLOAT", None, "Latitude"), ("Lon", "FLOAT", None, "Longitude"),
     ], ("Lat", "Lon")),
-    "Contests": ("contest_data.csv", [
+    "Contests": ([
         ("ID", "INTEGER", None, "#"), ("Year", "INTEGER", None, "year"), ("Host", "STRING", 20, "host"), ("Date", "STRING", 12, "date"),
         ("SemiPaises", "INTEGER", None, "semi_countries"), ("FinalistPaises", "INTEGER", None, "final_countries"),
         ("JuryVoters", "INTEGER", None, "jury_countries_voting_final"), ("TeleVoters", "INTEGER", None, "televote_countries_voting_final"),
     ], None),
-    "Paises": ("country_data.csv", [
+    "Paises": ([
         ("ID", "INTEGER", None, "#"), ("Pais", "STRING", 25, "country"), ("Region", "STRING", 20, "region"),
     ], None),
 }
 
 
-def seed_demo(catalog: Catalog, folder: str) -> list[str]:
-    """Create the demonstration tables whose files are in folder and that do not exist yet."""
+def seed_demo(catalog: Catalog, files: Mapping[str, str]) -> list[str]:
+    """Create the demonstration tables that do not exist yet from the files given for them, if those
+    are there. Returns the names of those made."""
     made = []
-    for table, (file, columns, spatial) in DEMO.items():
-        path = f"{folder.rstrip('/')}/{file}"
-        if table in catalog.tables or not catalog.files.exists(path):
+    for table, (columns, spatial) in DEMO.items():
+        path = files.get(table)
+        if path is None or table in catalog.tables or not catalog.files.exists(path):
             continue
         raw = read_csv(catalog.spark, path)
         rows = with_row_numbers(raw, "__number")

@@ -191,6 +191,22 @@ def test_hash_lookup_reads_one_folder(session):
     assert all_.telemetry.rows_scanned == 200 and all_.telemetry.elapsed_ms > 0
 
 
+@pytest.mark.parametrize("kind", ["SEQUENTIAL", "HASH"])
+def test_delete_writes_only_files_with_matches(session, kind):
+    run(session, f"CREATE TABLE T (id INT) INDEX ({kind} id)")
+    for low in (0, 100, 200):
+        run(session, "".join(f"INSERT INTO T VALUES ({i});" for i in range(low, low + 20)))
+    before = [p.path for p in session.catalog.table("T").parts]
+    assert run(session, "DELETE FROM T WHERE id BETWEEN 105 AND 109").message == "5 row(s) deleted from 'T'"
+    parts = session.catalog.table("T").parts
+    assert before[0] in [p.path for p in parts] and before[2] in [p.path for p in parts]
+    assert sorted(r.id for r in session.table("T").collect()) == [*range(20), *range(100, 105), *range(110, 120), *range(200, 220)]
+    again = Session(session.spark, session.catalog.path)
+    assert again.table("T").count() == 55 and again.lookup("T", 115).count() == 1
+    run(session, "DELETE FROM T WHERE id >= 100; DELETE FROM T WHERE id < 100")
+    assert session.table("T").count() == 0 and session.catalog.table("T").parts == []
+
+
 @pytest.fixture
 def grid(session):
     run(session, "CREATE TABLE Pts (id INT, name STRING(8), x FLOAT, y FLOAT) INDEX (RTREE x)")

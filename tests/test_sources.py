@@ -48,11 +48,17 @@ def test_row_numbers(spark):
 
 
 def test_seed(session, tmp_path):
-    (tmp_path / "country_data.csv").write_text("country,region\nPeru,America\nChad,Africa\n")
-    (tmp_path / "wikipedia_cities_full_clean_143.csv").write_text('City,Latitude,Longitude\nLima,-12,-77\n"A\nB",,\n')
-    (tmp_path / "contest_data.csv").write_text("year,host,date,semi_countries\n2001,Oslo,12/05/2001,\n")
-    assert seed_demo(session.catalog, str(tmp_path)) == ["Ciudades", "Contests", "Paises"]
-    assert seed_demo(session.catalog, str(tmp_path)) == []
+    texts = {
+        "Paises": "country,region\nPeru,America\nChad,Africa\n",
+        "Ciudades": 'City,Latitude,Longitude\nLima,-12,-77\n"A\nB",,\n',
+        "Contests": "year,host,date,semi_countries\n2001,Oslo,12/05/2001,\n",
+    }
+    files = {"Canciones": str(tmp_path / "none.csv")}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+        files[name] = str(tmp_path / f"{name}.csv")
+    assert seed_demo(session.catalog, files) == ["Ciudades", "Contests", "Paises"]
+    assert seed_demo(session.catalog, files) == []
     assert [tuple(r) for r in session.table("Paises").orderBy("ID").collect()] == [(1, "Peru", "America"), (2, "Chad", "Africa")]
     assert tuple(session.table("Contests").first())[:5] == (1, 2001, "Oslo", "12/05/2001", 0)
     hit = session.execute("SELECT Ciudad FROM Ciudades WHERE Lat IN (POINT(-12, -77), K 1)")
