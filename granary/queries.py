@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import joins, ordering
+from granary.plans.nodes import Name, Near
+from granary.plans.parser import parse
 from granary.session import Session
 from granary.sources.csv_source import load_points
+from granary.sources.files import shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,8 +53,7 @@ def _session(spark: SparkSession, sf_dir: str) -> Session:
 
 def _workspace(spark: SparkSession) -> Session:
     """A session in a workspace of its own, in a folder that all of a cluster sees."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return Session.open(spark, f"{root.rstrip('/')}/granary-workspaces", f"w{uuid.uuid4().hex}")
+    return Session.open(spark, f"{shared_root(spark)}/granary-workspaces", f"w{uuid.uuid4().hex}")
 
 
 SUPPLIER = "(SELECT s_suppkey, s_name, CAST(s_nationkey AS DOUBLE) AS px, s_acctbal / 100 AS py FROM supplier)"
@@ -198,8 +198,6 @@ _dialect(
 
 @_query("spatial_payload", f"SELECT c_custkey AS id, px AS x, py AS y, c_name AS label, {_CIRCLE} AS distance FROM {CUSTOMER} ORDER BY distance, c_custkey LIMIT 7")
 def _spatial_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from granary.plans.nodes import Name, Near
-
     return _session(spark, sf_dir).spatial_search("customer_points", Near((Name("px"), Name("py")), 10.0, 50.0, k=7))[0]
 
 
@@ -227,8 +225,6 @@ def _with_nations(spark: SparkSession, sf_dir: str, index: str = "") -> Session:
 
 
 def _parsed(sql: str):
-    from granary.plans.parser import parse
-
     return parse(sql)[0]
 
 

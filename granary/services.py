@@ -201,7 +201,8 @@ def scan_metrics(df: DataFrame) -> list[tuple[str, int]]:
 
 @dataclass
 class QueryResult:
-    """kind: table, spatial, message or error."""
+    """kind: table, spatial, message or error. df: a SELECT's DataFrame; more: whether rows were left
+    behind because only some were to be fetched."""
 
     kind: str
     columns: list[str] = field(default_factory=list)
@@ -209,6 +210,8 @@ class QueryResult:
     spatial: dict | None = None
     message: str = ""
     telemetry: Telemetry = field(default_factory=Telemetry)
+    df: DataFrame | None = None
+    more: bool = False
 
     def to_dict(self) -> dict:
         return {"kind": self.kind, "columns": self.columns, "rows": self.rows, "spatial": self.spatial, "message": self.message, "telemetry": vars(self.telemetry)}

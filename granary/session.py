@@ -5,12 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.errors import AnalysisError
-from granary.functions.types import field_of
+from granary.functions.types import converted, field_of
 from granary.operators import predicates, spatial
 from granary.operators.scope import Scope, Source
 from granary.plans import nodes as n
@@ -32,6 +33,7 @@ class Session:
         self._frames: dict[str, tuple[DataFrame, tuple[str, str] | None]] = {}
         self._loads: dict[str, Callable[[], DataFrame]] = {}
         self._pending: dict[str, list[tuple[object, ...]]] = {}
+        self._folder: str | None = None
 
     @staticmethod
     def open(spark: SparkSession, root: str, name: str | None = None, **options) -> Session:
@@ -43,7 +45,7 @@ class Session:
     def over(spark: SparkSession, folder: str, tables: Mapping[str, str] | None = None) -> Session:
         """A session over the Parquet tables of a folder, each read when a statement names it."""
         session = Session(spark)
-        session._folder = folder  # type: ignore[attr-defined]
+        session._folder = folder
         for name, path in (tables or {}).items():
             session._loads[name] = lambda path=path: spark.read.parquet(path)
         return session
@@ -66,11 +68,10 @@ class Session:
             return Source(name, alias, self.catalog.read(name, bucket_key), table.spatial, table.key)
         if name in self._loads:
             return Source(name, alias, self._loads[name]())
-        folder = getattr(self, "_folder", None)
-        if folder and name.isidentifier():
+        if self._folder and name.isidentifier():
             try:
-                return Source(name, alias, self.spark.read.parquet(f"{folder}/{name}.parquet"))
-            except Exception as e:
+                return Source(name, alias, self.spark.read.parquet(f"{self._folder}/{name}.parquet"))
+            except AnalysisException as e:
                 raise AnalysisError(f"Table '{name}' not found") from e
         raise AnalysisError(f"Table '{name}' not found")
 
@@ -112,21 +113,23 @@ class Session:
             sources.append(self._source(s.join.table, s.join.alias))
         return lower_select(s, tuple(sources), strategy)
 
-    def execute(self, sql: str) -> QueryResult:
+    def execute(self, sql: str, fetch: int | None = None) -> QueryResult:
         """Run a program and return what its last SELECT found, or what its statements say. All are
-        parsed before any runs; one that fails leaves no trace, those before it stand."""
+        parsed before any runs; one that fails leaves no trace, those before it stand. fetch: bring at
+        most so many rows of a result to the driver; the result then says whether there are more, and
+        its df, like that of any SELECT, can go on to a sink without passing through the driver."""
         if not sql.strip():
             return QueryResult("message", message="Empty query")
         began, telemetry = time.perf_counter(), Telemetry()
         try:
-            result = self._run(sql, telemetry)
+            result = self._run(sql, telemetry, fetch)
         except Exception as e:
             result = QueryResult("error", message=str(e).split("\n\nJVM stacktrace")[0])
         telemetry.elapsed_ms = (time.perf_counter() - began) * 1000
         result.telemetry = telemetry
         return result
 
-    def _run(self, sql: str, telemetry: Telemetry) -> QueryResult:
+    def _run(self, sql: str, telemetry: Telemetry, fetch: int | None) -> QueryResult:
         messages: list[tuple[str, str, int]] = []
         found: QueryResult | None = None
         try:
@@ -134,9 +137,11 @@ class Session:
                 telemetry.statements += 1
                 if isinstance(statement, n.Select):
                     df = self._select(statement)
-                    rows = [r.asDict() for r in df.collect()]
-                    telemetry.add(df)
-                    found = QueryResult("table", df.columns, rows)
+                    taken = df if fetch is None else df.limit(fetch + 1)
+                    rows = [r.asDict() for r in taken.collect()]
+                    telemetry.add(taken)
+                    more = fetch is not None and len(rows) > fetch
+                    found = QueryResult("table", df.columns, rows[:fetch], df=df, more=more)
                     if isinstance(statement.where, n.Near) and statement.join is None:
                         found = self._spatial_result(statement, found)
                 elif isinstance(statement, n.Insert):
@@ -156,7 +161,7 @@ class Session:
         hits, points = self.spatial_search(s.table, near)
         form = {"cx": near.x, "cy": near.y} | ({"k": near.k} if near.k is not None else {"radius": near.radius})
         payload = form | {"results": [r.asDict() for r in hits.collect()], "all_points": points}
-        return QueryResult("spatial", found.columns, found.rows, payload)
+        return QueryResult("spatial", found.columns, found.rows, payload, df=found.df, more=found.more)
 
     def spatial_search(self, table: str, near: n.Near) -> tuple[DataFrame, DataFrame]:
         """(hits with their distance, nearest first; all points) of a table with a spatial layout. Points
@@ -218,8 +223,6 @@ class Session:
     def _insert(self, i: n.Insert) -> None:
         """Rows wait until another statement or the program's end, and are then written together; what
         is wrong with a row is found at once."""
-        from granary.functions.types import converted
-
         table = self._need_catalog().table(i.table)
         with self.journal.transaction("INSERT", i.table):
             if len(i.values) != len(table.fields):
@@ -242,8 +245,10 @@ class Session:
             source = self._source(d.table, None)
             return catalog.delete(d.table, None if d.where is None else predicates.condition(Scope.of(source), d.where))
 
-    def ingest(self, path: str, table: str, progress=None, spatial_columns: tuple[str, str] | None = None) -> int:
+    def ingest(
+        self, path: str, table: str, progress=None, spatial_columns: tuple[str, str] | None = None, multi_line: bool = True
+    ) -> int:
         """Load a CSV file; see ``csv_source.ingest``."""
         self._flush()
         with self.journal.transaction("INGEST", table) as txn, self.locks.writing(table, txn):
-            return csv_source.ingest(self._need_catalog(), path, table, progress, spatial_columns)
+            return csv_source.ingest(self._need_catalog(), path, table, progress, spatial_columns, multi_line)

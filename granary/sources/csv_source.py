@@ -1,6 +1,7 @@
 """CSV files: loading into tables, with inferred or declared columns, and points for benchmarks.
 
-Quoted fields may hold line breaks, so a file is one task; many files load in parallel.
+Quoted fields may hold line breaks, so a file is one task, and many files load in parallel; of files
+that are known to have none (multi_line=False), one file is many tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from granary.sources.catalog import Catalog, Table
 SAMPLE_ROWS, TYPED_ROWS, NAME_CHARS = 100, 20, 30
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """All columns as strings."""
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "sep": sep, "encoding": encoding, "inferSchema": False}
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "sep": sep, "encoding": encoding, "inferSchema": False}
     return spark.read.options(**options).csv(path)
 
 
@@ -46,11 +47,12 @@ def ingest(
     table: str,
     progress: Callable[[int, int], None] | None = None,
     spatial: tuple[str, str] | None = None,
+    multi_line: bool = True,
 ) -> int:
     """Load a CSV file with a header. A table that does not exist is created from its first rows; one
     that does takes the columns it has, by name, and zeros or empty strings for those it lacks. Returns
     the number of rows; a file without rows creates nothing."""
-    raw = read_csv(catalog.spark, path)
+    raw = read_csv(catalog.spark, path, multi_line=multi_line)
     if not raw.columns or raw.isEmpty():
         if progress:
             progress(0, 0)

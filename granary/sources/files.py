@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``. A local session
+    without that setting uses a temporary one; on a cluster its absence is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.spark = spark

@@ -127,6 +127,12 @@ def test_types(session):
     assert len(run(session, "SELECT a FROM T WHERE c = 0.1").rows) == 0
 
 
+def test_fetch(school):
+    found = school.execute("SELECT id FROM Students ORDER BY id", fetch=3)
+    assert values(found) == [(1,), (2,), (3,)] and found.more and found.df.count() == 20
+    assert not school.execute("SELECT id FROM Students", fetch=20).more
+
+
 def test_order_by(session):
     run(session, "CREATE TABLE T (id INT, v INT)")
     run(session, "".join(f"INSERT INTO T VALUES ({i}, {100 - i});" for i in range(1, 101)))
