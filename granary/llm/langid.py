@@ -33,13 +33,15 @@ ORDERS = (1, 2, 3, 4)
 PAD = max(ORDERS) - 1
 PER_LANG = 1000
 TRAIN_BYTES = 3000
-EPOCHS = 4
+#: Passes over the sample, and more of a small one, until it has made so many steps.
+EPOCHS, LEAST_STEPS = 4, 6000
 RATE = 0.5
 SEED = 7
 UNKNOWN = "und"
 #: Of the calibration rows that are predicted right, at most this share may fall under the threshold.
 REJECTED_SHARE = 0.0005
 CHUNK_BYTES = 2 << 20
+SEGMENT = 1 << 17
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 #: The bytes A to Z become a to z.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,22 +76,47 @@ class Model:
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """A row for each text, which must not be empty."""
-        if not texts:
-            return np.zeros((0, len(self.langs)))
+        total = np.zeros((len(texts), len(self.langs)))
+        # Short texts are summed together, long ones in pieces, so that memory is bounded.
+        most = max(4096, min(SEGMENT, SEGMENT * 8 // max(1, len(self.langs))))
+        group, held = [], 0
+        for i, text in enumerate(texts):
+            if len(text) > most:
+                total[i] = self._long(text, most)
+                continue
+            if held + len(text) > most:
+                total[group] = self._short([texts[k] for k in group])
+                group, held = [], 0
+            group.append(i)
+            held += len(text)
+        if group:
+            total[group] = self._short([texts[k] for k in group])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        z = (total / (len(ORDERS) * sizes)[:, None] + self.bias) / self.temperature
+        z = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
+        return z / z.sum(1, keepdims=True)
+
+    def _short(self, texts: list[bytes]) -> np.ndarray:
         gap = bytes(PAD)
         padded = _LOWER[np.frombuffer(gap.join(texts) + gap, np.uint8)]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.concatenate([[0], np.cumsum(sizes + PAD)[:-1]])
         # Cut at each text's start and at its end: every second sum is that of the gap behind it.
-        cuts = np.minimum(np.stack([starts, starts + sizes], 1).ravel(), len(padded) - PAD - 1)
+        cuts = np.stack([starts, starts + sizes], 1).ravel()[:-1]
         total = np.zeros((len(texts), len(self.langs)))
         for n in ORDERS:
-            share = self.scores[_hashes(padded, n)]
-            sums = np.add.reduceat(share, cuts, axis=0, dtype=np.float64)[::2]
-            total += sums
-        z = (total / (len(ORDERS) * sizes)[:, None] + self.bias) / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+            total += np.add.reduceat(self.scores[_hashes(padded, n)], cuts, axis=0, dtype=np.float64)[::2]
+        return total
+
+    def _long(self, text: bytes, most: int) -> np.ndarray:
+        total = np.zeros(len(self.langs))
+        for i in range(0, len(text), most):
+            piece = text[i : i + most + PAD]
+            piece += bytes(min(most, len(text) - i) + PAD - len(piece))
+            padded = _LOWER[np.frombuffer(piece, np.uint8)]
+            for n in ORDERS:
+                total += self.scores[_hashes(padded, n)].sum(axis=0, dtype=np.float64)
+        return total
 
 
 def train(texts: list[bytes], langs: list[str]) -> Model:
@@ -103,9 +130,10 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     ids, done = np.flatnonzero(fits), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(ids)))
+    for _ in range(epochs):
         for i in rng.permutation(ids):
-            rate = RATE * (1 - done / (EPOCHS * len(ids)))
+            rate = RATE * (1 - done / (epochs * len(ids)))
             done += 1
             text = texts[i]
             size = int(rng.choice((20, 60, 200, len(text))))  # short pieces as well as whole texts
@@ -147,12 +175,13 @@ def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether a document never trains: by the checksum of its id; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
     """Train on a sample of the labelled rows that are not held out, chosen by a hash of the id."""
-    rows = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     n = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # as many rows as languages
     if not n:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -168,15 +197,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return train([r.t.encode()[:TRAIN_BYTES] for r in found], [r.l for r in found])
 
 
-def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and accepted; the text column must be one of strings."""
+def classify(
+    docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted")
+) -> DataFrame:
+    """docs with the predicted language, its probability and whether it is accepted, under these names;
+    the text column must be one of strings."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS rows, one column a language: bounded
-    made = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("accepted", T.BooleanType())]
-    fields = [x for x in docs.schema.fields if x.name not in dict(made)]
-    names = [x.name for x in fields]
-    rows = docs.select(*[F.col(f"`{x}`") for x in names])
+    made = list(zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))
+    fields = [x for x in docs.schema.fields if x.name not in names]
+    others = [x.name for x in fields]
+    rows = docs.select(*[F.col(f"`{x}`") for x in others])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -187,7 +219,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             p = m.probabilities([texts[i].encode() for i in known])
             for i, best, s in zip(known, p.argmax(1) if known else (), p.max(1) if known else (), strict=True):
                 lang[i], score[i], accepted[i] = m.langs[best], float(s), bool(s >= m.threshold)
-            out = table.select(names)
+            out = table.select(others)
             for (name, _), values in zip(made, (lang, score, accepted), strict=True):
                 out = out.append_column(name, pa.array(values))
             yield from out.combine_chunks().to_batches()
