@@ -89,7 +89,12 @@ def coerced(raw: Column, field: Field) -> Column:
     real = number.try_cast("double")
     if field.type in RANGES:
         exact = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text).try_cast("bigint")
-        return F.coalesce(exact, F.when(~F.isnan(real), real).cast("bigint"), F.lit(0)).cast(SPARK_TYPES[field.type])
+        # Whatever the session's ANSI mode, a number out of range stops the load.
+        low, high = RANGES[field.type]
+        fits = F.coalesce(exact.between(low, high), real > float(low) - 1, F.lit(True)) & F.coalesce(exact.isNotNull() | (real < float(high) + 1), F.lit(True))
+        whole = F.coalesce(exact, real.try_cast("bigint"), F.lit(0))
+        out_of_range = F.raise_error(F.concat(F.lit(f"out of range for {field.type} column {field.name}: "), text))
+        return F.when(fits, whole.cast(SPARK_TYPES[field.type])).otherwise(out_of_range.cast(SPARK_TYPES[field.type]))
     if field.type == "FLOAT":
         return F.coalesce(real, F.lit(0.0)).cast("float")
     size = field.size or DEFAULT_SIZE

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from granary.sources.csv_source import seed_demo, with_row_numbers
@@ -40,6 +41,23 @@ def test_create_from_file(session, tmp_path):
     assert sorted(map(tuple, session.table("c").collect())) == [(1, 2.5, ""), (4, 0.0, "")]
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_out_of_range_loads_nothing(session, spark, tmp_path, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        session.execute("CREATE TABLE r (a INT, b BIGINT)")
+        (tmp_path / "ok.csv").write_text("a,b\n2147483647,9223372036854775807\n-2147483648.7,1e3\n1e2,x\n")
+        assert session.ingest(str(tmp_path / "ok.csv"), "r") == 3
+        assert sorted(map(tuple, session.table("r").collect())) == [(-2147483648, 1000), (100, 0), (2147483647, 9223372036854775807)]
+        for bad in ("2147483648,1", "1e10,1", "1,1e30", "1,9223372036854775808"):
+            (tmp_path / "bad.csv").write_text(f"a,b\n1,1\n{bad}\n")
+            with pytest.raises(Exception, match="out of range"):
+                session.ingest(str(tmp_path / "bad.csv"), "r")
+        assert session.table("r").count() == 3
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_row_numbers(spark):
     df = spark.range(100).repartition(7)
     got = [r.ID for r in with_row_numbers(df).select("ID").collect()]
