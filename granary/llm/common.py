@@ -62,10 +62,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches have at most so many rows: whole texts may be long, and a batch is held in
-    memory on both sides. It lowers the session's setting and never raises it. Python workers also
-    get this package's folder on their path, for sessions that were started elsewhere."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Let Arrow batches have at most so many rows, and about so many bytes: whole texts may be long,
+    and a batch is held in memory on both sides. It lowers the session's settings and never raises
+    them. Python workers also get this package's folder on their path, for sessions that were started
+    elsewhere."""
     at = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if at not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -73,6 +74,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < as_bytes(spark.conf.get(key)) <= size:
+        spark.conf.set(key, str(size))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:

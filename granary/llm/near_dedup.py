@@ -3,12 +3,13 @@
 1. Every document's set of shingles becomes m registers: for each of m hash functions the minimum of
    exponential values over the set, kept as an exponent of base b, truncated to its range. Registers
    of a union are the larger of both (mergeable), and similar sets agree in many (locality-sensitive).
-2. Documents with equal sets are one class. Bands of registers put classes into buckets; a bucket
-   links its members to its least one, so its rows are as many as its members, never their pairs.
-   What hangs together by buckets is a candidate group.
-3. Each group is dealt to blocks of bounded size. Within a block, pairs whose Jaccard similarity may
-   reach the threshold by the joint likelihood of their registers and set sizes are verified on the
-   full sets; pairs that are connected already are passed over. A block emits one row a document.
+2. Documents with equal sets are one class. Bands of registers put classes into buckets. Members of a
+   bucket whose Jaccard similarity may reach the threshold, by the joint likelihood of their registers
+   and set sizes, hang together (in a very large bucket, all members do); a bucket yields at most as
+   many edges as members, never their pairs. What hangs together is a candidate group.
+3. Each group is dealt to blocks of bounded size. Within a block, pairs that the likelihood does not
+   rule out are verified on the full sets; pairs that are connected already are passed over. A block
+   emits one row a document.
 4. Groups of more than one block go on: some members of each connected part meet until the parts no
    longer merge; then all members outside their group's largest part are queries, in blocks, against
    all members of their group. So every pair of a group is compared or known to be connected.
@@ -45,8 +46,10 @@ CHUNK_BYTES = 4 << 20
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: Standard deviations under the threshold at which the likelihood rules a pair out.
 MARGIN = 5.0
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
 QUERY_ROWS = 256
+#: A bucket of more members is taken to be of one kind, and hangs together as a whole.
+BUCKET_ROWS = 512
 #: Members of each connected part that stand for it while a large group's parts are merged.
 SPEAKERS = 4
 
@@ -127,12 +130,12 @@ def sketch(hashes: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / math.log(BASE)), 0, LARGEST).astype(np.uint16)
 
 
-def may_reach(percent: int, mine: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
-    """Whether the most likely similarity of a set to each of others, given all registers and both
-    sizes, is not MARGIN standard deviations or more under the threshold. The log likelihood is
-    concave, so its slope at that bound tells on which side its maximum is."""
-    m = len(mine)
-    above, below = (mine > others).sum(1), (mine < others).sum(1)
+def may_reach(percent: int, mine: np.ndarray, others: np.ndarray, n: int | np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the most likely similarity of a set to each of others (or of each set to its other),
+    given all registers and both sizes, is not MARGIN standard deviations or more under the threshold.
+    The log likelihood is concave, so its slope at that bound tells on which side its maximum is."""
+    m = mine.shape[-1]
+    above, below = (mine > others).sum(-1), (mine < others).sum(-1)
     same = m - above - below
     u, v = n / (n + sizes), sizes / (n + sizes)
     t = percent / 100
@@ -259,7 +262,13 @@ def _linked(rows: DataFrame, config: Config, keys: list[str]) -> DataFrame:
         yield _pairs(found)
 
     small_batches(rows.sparkSession)
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    # The tasks of one group go to partitions next to each other, so that no two of a large group meet.
+    group, *numbers = keys
+    place = F.xxhash64(group)
+    for step, number in zip((1, 31), reversed(numbers), strict=False):
+        place = place + F.col(number) * step
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionById(n, F.pmod(place, F.lit(n)).cast("int")).sortWithinPartitions(*keys)
     return dealt.select(*keys, "label", "query", "hashes", "registers").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -267,19 +276,77 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def _candidate_groups(classes: DataFrame, config: Config) -> DataFrame:
-    """(id, grp, n) of the classes that share a bucket with another."""
+def alike(percent: int, n: np.ndarray, registers: np.ndarray) -> np.ndarray:
+    """Each member's part of a bucket, as the place of the part's first member, when those whose
+    likelihood lets them link hang together."""
+    part = np.arange(len(n))
+    for x in range(len(n)):
+        others = np.flatnonzero(part != part[x])
+        others = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
+        if len(others):
+            met = np.unique(np.append(part[others[may_reach(percent, registers[x], registers[others], n[x], n[others])]], part[x]))
+            if len(met) > 1:
+                part[np.isin(part, met)] = met[0]
+    return part
+
+
+def _bucket_edges(rows: DataFrame, config: Config) -> DataFrame:
+    """rows: key of a bucket, id, n, registers. Returns edges (a, b) that make the parts of each bucket."""
+    percent, m = config.percent, config.registers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, at = [], None
+        pairs: list[tuple] = []  # of buckets of two, for one call
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(bucket) == 2:
+                pairs.append((*bucket[0], *bucket[1]))
+            elif len(bucket) > 2:
+                n = np.array([r[1] for r in bucket], np.int64)
+                registers = np.frombuffer(b"".join(r[2] for r in bucket), np.uint16).reshape(-1, m)
+                found.extend((bucket[i][0], bucket[p][0]) for i, p in enumerate(alike(percent, n, registers)) if i != p)
+
+        def paired() -> Iterator[tuple[int, int]]:
+            if not pairs:
+                return
+            one, two = (np.frombuffer(b"".join(r[k] for r in pairs), np.uint16).reshape(-1, m) for k in (2, 5))
+            n, o = (np.array([r[k] for r in pairs], np.int64) for k in (1, 4))
+            keep = (100 * np.minimum(n, o) >= percent * np.maximum(n, o)) & may_reach(percent, one, two, n, o)
+            yield from ((pairs[i][0], pairs[i][3]) for i in np.flatnonzero(keep))
+            pairs.clear()
+
+        for batch in batches:
+            for key, *row in zip(*(batch[c].to_pylist() for c in ("key", "id", "n", "registers")), strict=True):
+                if key != at:
+                    close()
+                    bucket, at = [], key
+                bucket.append(row)
+            if len(pairs) + len(found) > 10_000:
+                yield _pairs([*found, *paired()])
+                found.clear()
+        close()
+        yield _pairs([*found, *paired()])
+
+    small_batches(rows.sparkSession)
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "id", "n", "registers").mapInArrow(run, "a bigint, b bigint")
+
+
+def _candidate_groups(classes: DataFrame, config: Config, bucket_rows: int) -> DataFrame:
+    """(id, grp, n) of the classes that hang together with another by a bucket."""
     width = 2 * config.rows
     band = F.explode(F.sequence(F.lit(0), F.lit(config.bands - 1)))
     banded = classes.select("id", "registers", band.alias("band"))
     key = F.xxhash64("band", F.substring(F.col("registers"), F.col("band") * width + 1, F.lit(width)))
     keyed = banded.select("id", key.alias("key"))
-    buckets = materialise(
-        keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot"), "buckets"
-    )
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"))
+    buckets = materialise(buckets.where("size > 1"), "buckets")
     filter_ = bloom.build(buckets.select(F.col("key").alias("__key")), "__key", bloom.MAX_BLOCKS)
     shared = bloom.probe(keyed, "key", filter_, "__maybe", bloom.MAX_BLOCKS).where("__maybe")
-    edges = shared.select("id", "key").join(buckets, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    members = materialise(shared.select("id", "key").join(buckets, "key"), "bucket_members")
+    large = members.where(F.col("size") > bucket_rows).where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    small = members.where(F.col("size") <= bucket_rows).select("key", "id").join(classes.select("id", "n", "registers").hint("merge"), "id")
+    edges = large.unionByName(_bucket_edges(small, config)).distinct()
     groups = components(edges).select(F.col("node").alias("id"), F.col("label").alias("grp"))
     return groups.join(classes.select("id", "n"), "id")
 
@@ -351,6 +418,7 @@ def find(
     id_col: str = "doc_id",
     most_rows: int = BLOCK_ROWS,
     query_rows: int = QUERY_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id that its links reach) and
     kept (whether that is its own)."""
@@ -361,7 +429,7 @@ def find(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")
     )
     classes = materialise(classes, "classes")
-    members = _candidate_groups(classes, config)
+    members = _candidate_groups(classes, config, bucket_rows)
     labels = _verified(rows.where(F.col("id").isNotNull()), members, config, most_rows, query_rows).where("id <> label")
     # Only classes of several rows, or linked to another, have a component that is not their own id.
     of_class = classes.join(labels.groupBy("id").agg(F.min("label").alias("label")), "id", "left").where("copies > 1 or label is not null")

@@ -79,6 +79,7 @@ def test_large_groups_in_small_blocks(spark):
     expected = brute(rows, 3, 85)
     assert len({c for _, c in expected.values()}) < 150
     assert found(df, config, most_rows=16, query_rows=8) == expected
+    assert found(df, config, most_rows=16, query_rows=8, bucket_rows=3) == expected
     assert found(df, config) == expected
 
 
