@@ -51,6 +51,9 @@ SEGMENT = 1 << 18
 CHUNK_BYTES = 4 << 20
 #: A range of ids holds about so many bytes of text.
 RANGE_BYTES = 16 << 20
+#: There are no more ranges than this; of a larger corpus each holds more. A task reads its range as a
+#: stream, so that is a matter of time, not of memory.
+MOST_RANGES = 1 << 15
 _NONE = np.uint32(2047)
 _AT_BITS = 20
 
@@ -266,7 +269,7 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, text_col: str = "text"
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)), MOST_RANGES)
     cuts = [i / n for i in range(n - 1, 0, -1)]
     bounds = rows.agg(F.percentile_approx("id", F.lit(cuts), 100 * n)).first()[0] if cuts else []
     bounds = sorted(set(bounds or []), reverse=True)
