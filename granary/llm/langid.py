@@ -2,9 +2,9 @@
 
 Features are the byte n-grams of the lower-cased text, hashed into buckets. A text's vector is the
 mean of its buckets' embeddings; a linear layer and a softmax turn it into probabilities. Training
-is stochastic gradient descent in numpy on a bounded sample of labelled rows (``PER_LANG`` rows of
-each language, ``TRAIN_BYTES`` bytes of each; the bound is these two parameters, whatever the size of
-the corpus). A fifth of the sample is kept for calibration: it sets the softmax's temperature and the
+is stochastic gradient descent in numpy on a bounded sample of labelled rows (about ``PER_LANG`` rows
+of each of at most ``MOST_LANGS`` languages, ``TRAIN_BYTES`` bytes of each; the bound is these
+parameters, whatever the size of the corpus). A fifth of the sample is kept for calibration: it sets the softmax's temperature and the
 probability under which a prediction is rejected. Prediction reads whole texts. As the mean and the
 layer are linear, each bucket's share of the scores is one row of a small table.
 
@@ -32,6 +32,8 @@ DIM = 16
 ORDERS = (1, 2, 3, 4)
 PAD = max(ORDERS) - 1
 PER_LANG = 1000
+#: The most frequent labels are learnt, so many at most; the model has a column for each.
+MOST_LANGS = 200
 TRAIN_BYTES = 3000
 #: Passes over the sample, and more of a small one, until it has made so many steps.
 EPOCHS, LEAST_STEPS = 4, 6000
@@ -182,7 +184,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
     """Train on a sample of the labelled rows that are not held out, chosen by a hash of the id."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    n = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # as many rows as languages
+    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    n = {r.l: r.n for r in counts.orderBy(F.col("n").desc(), "l").limit(MOST_LANGS).collect()}
     if not n:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     scale = 1 << 40
