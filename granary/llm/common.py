@@ -42,10 +42,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: it cuts the lineage, is
-    computed once, and outlives any executor. The files stay until ``release``."""
+    computed once, and outlives any executor. The files stay until ``release``. narrow: write no more
+    files than the cluster has cores, for tables of few bytes a document; each file costs a process
+    of the file system's in its executor, and many small ones are slow to read."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     top = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     _WRITTEN.append(top)
     path = f"{top}/{name}"

@@ -19,8 +19,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends are ignored, repeated edges and loops do no harm, no edges give no rows."""
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = ends.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = materialise(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
-    labels = materialise(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = materialise(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges", narrow=True)
+    labels = materialise(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", narrow=True)
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other")
@@ -31,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
         made = materialise(
-            moved.join(jump, "new", "left").select("node", "old", F.least("new", "further").alias("label")), "labels"
+            moved.join(jump, "new", "left").select("node", "old", F.least("new", "further").alias("label")), "labels", narrow=True
         )
         labels = made.select("node", "label")
         if made.where("old <> label").isEmpty():

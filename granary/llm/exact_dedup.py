@@ -66,7 +66,7 @@ def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
     rows = _refined(docs, text_col, id_col, digest_all).select(id_col, "__hit", "__sha")
     # A written table, not the aggregate itself: the join then deals out both sides anew, and
     # Spark can split a large group's rows over several tasks.
-    groups = materialise(_kept(rows, id_col).where("__size > 1"), "copies")
+    groups = materialise(_kept(rows, id_col).where("__size > 1"), "copies", narrow=True)
     return rows.join(groups, "__sha", "left").select(
         id_col,
         F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep")).alias("keep_id"),

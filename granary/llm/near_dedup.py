@@ -46,8 +46,8 @@ CHUNK_BYTES = 4 << 20
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: Standard deviations under the threshold at which the likelihood rules a pair out.
 MARGIN = 5.0
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
-QUERY_ROWS = 256
+BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
+QUERY_ROWS = 96
 #: A bucket of more members is taken to be of one kind, and hangs together as a whole.
 BUCKET_ROWS = 512
 #: Members of each connected part that stand for it while a large group's parts are merged.
@@ -340,10 +340,10 @@ def _candidate_groups(classes: DataFrame, config: Config, bucket_rows: int) -> D
     key = F.xxhash64("band", F.substring(F.col("registers"), F.col("band") * width + 1, F.lit(width)))
     keyed = banded.select("id", key.alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    buckets = materialise(buckets.where("size > 1"), "buckets")
+    buckets = materialise(buckets.where("size > 1"), "buckets", narrow=True)
     filter_ = bloom.build(buckets.select(F.col("key").alias("__key")), "__key", bloom.MAX_BLOCKS)
     shared = bloom.probe(keyed, "key", filter_, "__maybe", bloom.MAX_BLOCKS).where("__maybe")
-    members = materialise(shared.select("id", "key").join(buckets, "key"), "bucket_members")
+    members = materialise(shared.select("id", "key").join(buckets, "key"), "bucket_members", narrow=True)
     large = members.where(F.col("size") > bucket_rows).where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     small = members.where(F.col("size") <= bucket_rows).select("key", "id").join(classes.select("id", "n", "registers").hint("merge"), "id")
     edges = large.unionByName(_bucket_edges(small, config)).distinct()
@@ -355,35 +355,35 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, grp, n, label) after links between labels."""
     moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
     cols = labels.columns
-    return materialise(labels.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).select(*cols), "merged")
+    return materialise(labels.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).select(*cols), "merged", narrow=True)
 
 
 def _blocks(rows: DataFrame, most_rows: int = BLOCK_ROWS) -> DataFrame:
     """rows (id, grp, n, ...) with the number of blocks of their group and their own block."""
     totals = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__n"))
     parts = F.greatest(F.ceil(F.col("__rows") / most_rows), F.ceil(F.col("__n") / BLOCK_SHINGLES)).cast("int")
-    totals = materialise(totals.select("grp", parts.alias("blocks")), "blocks")
+    totals = materialise(totals.select("grp", parts.alias("blocks")), "blocks", narrow=True)
     return rows.join(totals, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: int, query_rows: int) -> DataFrame:
     """(id, label) of the members (id, grp, n) after all verified links within their groups."""
-    labels = materialise(_blocks(members, most_rows).withColumn("label", F.col("id")), "members")
+    labels = materialise(_blocks(members, most_rows).withColumn("label", F.col("id")), "members", narrow=True)
     tasks = labels.select("id", "grp", "block", "label").withColumn("query", F.lit(True))
-    links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "block"]), "links")
+    links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "block"]), "links", narrow=True)
     labels = _merged(labels, links)
     large = labels.where("blocks > 1")
     if large.isEmpty():
         return labels.select("id", "label")
     rest = labels.where("blocks = 1").select("id", "label")
-    large = materialise(large.select("id", "grp", "n", "label"), "large")
+    large = materialise(large.select("id", "grp", "n", "label"), "large", narrow=True)
     # Some members of each part meet, until no parts merge or all have met in one block.
     for _ in range(20):
         rank = F.row_number().over(_of_part())
         speakers = _blocks(large.withColumn("__rank", rank).where(F.col("__rank") <= SPEAKERS).drop("__rank"), most_rows)
-        speakers = materialise(speakers.withColumn("query", F.lit(True)), "speakers")
+        speakers = materialise(speakers.withColumn("query", F.lit(True)), "speakers", narrow=True)
         tasks = speakers.select("id", "grp", "block", "label", "query")
-        links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "block"]), "links")
+        links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "block"]), "links", narrow=True)
         if links.isEmpty():
             break
         large = _merged(large, links)
@@ -391,17 +391,17 @@ def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: in
             break
     # Members outside their group's largest part ask all members of the group.
     parts = large.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = materialise(parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main")), "main")
+    main = materialise(parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main")), "main", narrow=True)
     outside = large.join(main, "grp").where("label <> main").drop("main")
-    outside = materialise(_blocks(outside, query_rows).withColumnRenamed("blocks", "q_blocks").withColumnRenamed("block", "q"), "queries")
+    outside = materialise(_blocks(outside, query_rows).withColumnRenamed("blocks", "q_blocks").withColumnRenamed("block", "q"), "queries", narrow=True)
     asked = outside.select("grp", "q_blocks").distinct()
-    targets = materialise(_blocks(large, most_rows).join(asked, "grp"), "targets")
+    targets = materialise(_blocks(large, most_rows).join(asked, "grp"), "targets", narrow=True)
     counts = targets.select("grp", "blocks").distinct()
     ask = outside.join(counts, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     answer = targets.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     cols = ["id", "grp", "q", "block", "label"]
     tasks = ask.select(*cols, F.lit(True).alias("query")).unionByName(answer.select(*cols, F.lit(False).alias("query")))
-    links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "q", "block"]), "links")
+    links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "q", "block"]), "links", narrow=True)
     return _merged(large, links).select("id", "label").unionByName(rest)
 
 
@@ -428,12 +428,12 @@ def find(
     classes = some.groupBy("s1", "s2").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")
     )
-    classes = materialise(classes, "classes")
+    classes = materialise(classes, "classes", narrow=True)
     members = _candidate_groups(classes, config, bucket_rows)
     labels = _verified(rows.where(F.col("id").isNotNull()), members, config, most_rows, query_rows).where("id <> label")
     # Only classes of several rows, or linked to another, have a component that is not their own id.
     of_class = classes.join(labels.groupBy("id").agg(F.min("label").alias("label")), "id", "left").where("copies > 1 or label is not null")
-    of_class = materialise(of_class.select("s1", "s2", F.coalesce("label", "id").alias("component")), "components")
+    of_class = materialise(of_class.select("s1", "s2", F.coalesce("label", "id").alias("component")), "components", narrow=True)
     return sketched.join(of_class, ["s1", "s2"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -445,7 +445,7 @@ def find(
 def deduplicate(docs: DataFrame, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:  # noqa: B008
     """The rows of docs that stay: of each component the document with the least id. A filter of
     fixed size lets most rows pass; the others meet the ids that go in an exact join."""
-    gone = materialise(find(docs, config, text_col, id_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    gone = materialise(find(docs, config, text_col, id_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone", narrow=True)
     filter_ = bloom.build(gone.withColumn("__key", F.xxhash64("__gone")), "__key", bloom.MAX_BLOCKS)
     rows = bloom.probe(docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("bigint"))), "__key", filter_, "__maybe", bloom.MAX_BLOCKS)
     stay = rows.where("__maybe").join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
