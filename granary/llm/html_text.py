@@ -6,7 +6,8 @@ end tags that match nothing, ends open elements at the end of the input, and kee
 The renderer emits all visible text: nothing from head, scripts, styles, templates, or elements
 hidden by attribute or inline style. White space collapses except in ``pre``; blocks begin on lines of
 their own, paragraphs and the like are set off by blank lines; list items carry marks or numbers and
-are indented by depth; table cells are padded to aligned columns.
+are indented by depth; table cells are padded to aligned columns. Text and elements of a table that are in no
+cell come before it, as browsers place them; cells and rows within them belong to the table.
 
 Defined results: a null page gives null text, an empty one an empty text; broken markup is read to its
 end; repeated rows are rendered alike; an empty table gives an empty result; a column that has the
@@ -58,6 +59,15 @@ ENDS = {
     "tbody": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
+GROUPS = frozenset("thead tbody tfoot colgroup".split())
+#: A start tag of these ends what is open within the nearest of the elements named, as nothing else may hold it.
+HOLDERS = {
+    **dict.fromkeys(("td", "th"), frozenset("tr thead tbody tfoot table".split())),
+    "tr": frozenset("thead tbody tfoot table".split()),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), frozenset({"table"})),
+}
+#: Parts of tables in these stay there.
+ISLANDS = frozenset("template noscript svg".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
@@ -107,6 +117,15 @@ def parse(html: str) -> Node:
         if to:
             del stack[to:]
 
+    def back_to(holders: frozenset[str]) -> None:
+        """End what is open within the innermost of holders."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in holders:
+                del stack[i + 1 :]
+                break
+            if stack[i].tag in ISLANDS:
+                break
+
     while at < size:
         open_ = html.find("<", at)
         if open_ < 0:
@@ -154,6 +173,11 @@ def parse(html: str) -> Node:
             stack.pop()
         if name in ENDS:
             close(*ENDS[name])
+        if name in HOLDERS:
+            back_to(HOLDERS[name])
+            if name in ("td", "th") and stack[-1].tag in HOLDERS["tr"] and len(stack) < MAX_DEPTH:
+                stack[-1].children.append(Node("tr", {}))
+                stack.append(stack[-1].children[-1])
         if name in ENDS_P:
             close({"p"}, {"td", "th", "table", "li", "dd", "dt", "caption", "button"})
         node = Node(name, _attributes(inside) if inside else {})
@@ -240,38 +264,45 @@ def _hides(node: Node) -> bool:
     return bool(style) and "none" in style and bool(re.search(r"(?i)(?:^|;)\s*display\s*:\s*none", style))
 
 
-def _table_rows(node: Node, captions: list[Node]) -> Iterator[list[Node]]:
+def _table_rows(node: Node, loose: list[Node | str], captions: list[Node], shown: bool = True) -> Iterator[list[Node]]:
+    """The cells of each row. What is in no cell goes to loose, even from rows that are hidden: browsers
+    move it out of the table."""
     for child in node.children:
-        if isinstance(child, str) or _hides(child) or child.tag in ("colgroup", "col"):
-            continue
-        if child.tag in ("thead", "tbody", "tfoot"):
-            yield from _table_rows(child, captions)
+        if isinstance(child, str):
+            loose.append(child)
+        elif child.tag in GROUPS:
+            yield from _table_rows(child, loose, captions, shown and not _hides(child))
         elif child.tag == "tr":
-            yield [c for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and not _hides(c)]
+            cells: list[Node] = []
+            visible = shown and not _hides(child)
+            for part in child.children:
+                if isinstance(part, str) or part.tag not in ("td", "th"):
+                    loose.append(part)
+                elif visible and not _hides(part):
+                    cells.append(part)
+            yield cells
         else:
-            captions.append(child)
+            (captions if child.tag == "caption" else loose).append(child)
 
 
 def _table(node: Node, out: _Lines, shown: bool) -> None:
-    loose: list[Node] = []
+    loose, captions = Node("div", {}), []
     rows: list[list[str]] = []
-    for cells in _table_rows(node, loose):
+    for cells in _table_rows(node, loose.children, captions):
         row: list[str] = []
         for cell in cells:
             inner = _Lines()
             _render(cell, inner, False, shown)
             row.append(inner.result())
             row += [""] * (min(_number(cell.attributes.get("colspan"), 1), 100) - 1)
-        if any(row) and shown:
+        if any(row):
             rows.append(row)
-    # Captions and whatever else is not in a row come first.
-    for child in [*loose, *(c for c in node.children if isinstance(c, str))]:
-        if isinstance(child, str):
-            out.text(child)
-        else:
-            out.end()
-            _render(child, out, False, shown)
-            out.end()
+    # What is in no row comes first, then captions.
+    _render(loose, out, False, shown)
+    for caption in captions:
+        out.end()
+        if not _hides(caption):
+            _render(caption, out, False, shown)
     out.end()
     columns = max(map(len, rows), default=0)
     widths = [0] * columns
@@ -290,14 +321,15 @@ def _list(node: Node, out: _Lines, shown: bool) -> None:
     ordered = node.tag == "ol"
     number = _number(node.attributes.get("start"), 1)
     for child in node.children:
-        if isinstance(child, str) or child.tag != "li":
-            if isinstance(child, str):
+        if isinstance(child, str):
+            if shown:
                 out.text(child)
-            else:
-                _render(child, out, False, shown)
             continue
         if _hides(child):
             continue
+        if child.tag != "li":
+            _render(child, out, False, shown)
+            continue
         out.end()
         number = _number(child.attributes.get("value"), number) if ordered else number
         mark = f"{number}. " if ordered else "- "

@@ -43,6 +43,37 @@ def test_rendering(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>c", "a  b\n\nc"),
+        ("<table><form><tr><td>a<td>b</tr><tr><td>c<td>d</form></table>", "a  b\nc  d"),
+        ("<table><tr><center><td>a</td><td>b</td></center></tr></table>", "a  b"),
+        ("<table><tr><font color=red><td>a<td>b<tr><a href=x>y<td>c<td>d</table>", "y\na  b\nc  d"),
+        ("<table><tr>text<td>a</table>", "text\na"),
+        ("<table><tr><td>a</td>text</tr></table>", "text\na"),
+        ("<table><tr><td>a</td><p>text</tr></table>", "text\n\na"),
+        ("<table><tbody>Total<tr><td>a<tbody> <b>and</b> more</table>", "Total and more\na"),
+        ("<table><caption>cap</caption><thead>x<tfoot>y<tr>z<td>a</table>", "xyz\ncap\na"),
+        ("<table><colgroup>x<tr><td>a</table>", "x\na"),
+        ("<table><tbody><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr hidden>x<td>n</tr><tbody hidden><tr>y<td>n</table>", "xy"),
+        ("<table><tr><script>n</script><b hidden>n</b><td>a<tbody><style>n</style></table>", "a"),
+        ("<table><tr><noscript><td>n</td></noscript><td>a<td hidden>n</table>", "a"),
+        ("<table><tr><td><table><tr>x<td>a</table><td>b</table>", "x  b\na"),
+        ("<table style='visibility:hidden'>n<tr><td>n<td><b style='visibility:visible'>y</table>", "  y"),
+        ("<ul><script>n</script><li>a<li>b</li><div hidden>n</div>c</ul>", "- a\n- b\nc"),
+    ],
+)
+def test_text_outside_cells_and_items(html, text):
+    assert text_of(html) == text
+
+
+def test_no_text_of_nested_tables_is_lost():
+    deep = "".join(f"<table><tr>r{i}<td>c{i}" for i in range(300))
+    assert all(f"r{i}" in text_of(deep) and f"c{i}" in text_of(deep) for i in (0, 40, 100, 299))
+
+
 def test_hostile_pages_take_linear_time():
     began = time.time()
     for html in ("<a " * 50_000, '<a "' * 20_000, "<div>" * 50_000 + "x", "<p>" * 50_000, "<script>" * 20_000, "<li>" * 20_000, "<table><tr><td>" * 3_000, "<" * 100_000, "<!--" * 50_000, "&" * 100_000):
