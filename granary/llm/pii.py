@@ -48,11 +48,12 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9][\x20-]?[0-9]")),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]")),
 }
-#: Candidates: written-out addresses, token-like strings with a digit, numbers of seven digits or more.
+#: Candidates: written-out addresses, token-like strings with a digit and a letter, numbers of seven digits
+#: or more. All end where the run of their characters does, however long it is.
 CANDIDATES = (
-    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{12,256}+"
-    r"|(?<![A-Za-z0-9.])[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+"
+    r"|(?<![A-Za-z0-9.])(?=[0-9](?:[ ().-]{0,2}[0-9]){6}[0-9]*+(?![A-Za-z]))[0-9]++(?:[ ().-]{1,2}[0-9]++(?![A-Za-z]))*+"
 )
 CONTEXT_CHARS = 24
 RUN = 64
@@ -178,9 +179,10 @@ def _votes(s: Column) -> dict[str, Column]:
     value, before, after = s["value"], s["before"], s["after"]
     kind, digits = _kind(value), _digits(value)
     starts = lambda words: reduce(lambda a, b: a | b, [value.startswith(w) for w in words])
-    mixed = value.rlike("[A-Za-z].*[0-9].*[A-Za-z]|[0-9].*[A-Za-z].*[0-9]") & (F.length(digits) >= 3) & (F.length(value) >= 16)
+    letter, digit = "[^A-Za-z]*+[A-Za-z]", "[^0-9]*+[0-9]"
+    mixed = value.rlike(rf"\A(?:{letter}{digit}{letter}|{digit}{letter}{digit})") & (F.length(digits) >= 3) & (F.length(value) >= 16)
     phone = value.rlike(r"\A(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}\z|\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z")
-    card = F.length(digits).between(13, 19)
+    card = F.length(digits) >= 13  # or several in a row
     date = value.rlike(r"\A(?:19|20)[0-9]{2}[-. ][01]?[0-9][-. ][0-3]?[0-9]\z|\A[0-3]?[0-9][-. ][01]?[0-9][-. ](?:19|20)[0-9]{2}\z")
     flat = digits.rlike(r"\A([0-9])\1*\z")
     shape = (

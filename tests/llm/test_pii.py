@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,36 @@ def test_supervision_finds_more(spark):
     assert sum(r.n for r in rows if r.doc_id < 40) >= 76
     assert sum(r.n + r.m for r in rows if r.doc_id >= 40) <= 8
     assert pii._em({(1, 1, 0, 1, 1): 50, (0, -1, 0, -1, 0): 50})[(1, 1, 0, 1, 1)] > 0.9
+
+
+def test_candidates_take_whole_runs(spark):
+    """No part of a long token or number is left out, nor is the run left out for its length."""
+    runs = [
+        "a1b2" * 100, "a1B2_-+/" * 5_000, "k" * 66 + "9" + "z" * 40, "7" * 66 + "z" + "8" * 40, "ab12cd34ef56gh78", "1" * 19, "12" * 10, "123" * 1_000,
+        "1234 5678 9012 3456 7890 12", "4111 1111 1111 1111 4111 1111 1111 1111", "1 " * 50_000 + "1", "j" * 70 + " (at) mail (dot) com",
+        "joe (at) a.b.c.d.e.f", "joe (at) mail (dot) " + "x" * 100,
+    ]
+    rows = spark.createDataFrame([(i, f"key = {t}, end") for i, t in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r["__more"]] for r in pii.with_spans(rows).select("doc_id", "__more").collect()}
+    assert got == {i: [(6, 6 + len(t))] for i, t in enumerate(runs)}
+    # A number ends before a run of digits that goes on in letters; decimals do not begin one.
+    rest = [("1234567 8ab", [(0, 7)]), ("123456 7ab", []), ("1234567ab", []), ("x.1234567", []), ("12 345 67", [(0, 9)]), ("123456", []), ("1234567. 8", [(0, 10)])]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rest)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r["__more"]] for r in pii.with_spans(rows).select("doc_id", "__more").collect()}
+    assert got == {i: x for i, (_, x) in enumerate(rest)}
+
+
+def test_long_secrets_are_redacted_whole(spark):
+    texts = [f'word password=ab{i}cd34ef56gh7{i} and token = "f{i}0a9b8c7d6e5f4a3b2c{i}d" end' for i in range(40)]
+    texts += [f"see version 1-2-3-4-{i} on page 2001-10-1{i % 10} of build release-{i}-notes-abcdef, vol. 1234567{i}" for i in range(40)]
+    texts += ["key = " + "a1B2c3" * 100 + " end", "token = eyJ" + "h4" * 300 + ".eyJ" + "p5Q" * 400 + "." + "s6-_" * 200, "account: " + "9081726354" * 3]
+    redacted = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in redacted.where("doc_id >= 80").collect()}
+    assert got == {80: "key = <SECRET> end", 81: "token = <SECRET>.<SECRET>.<SECRET>", 82: "account: <NUMBER>"}
+
+
+def test_very_long_candidates_take_linear_time(spark):
+    texts = ["a" * 300_000 + "1" * 300_000, "1" * 300_000 + "a" * 300_000, "1" * 500_000, "1 2" * 200_000 + "a", "1 1 1 1 1 1 1a " * 40_000, "a-" * 200_000 + "1", "a (at) b" + ".c" * 200_000]
+    began = time.time()
+    pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(pii.listing(pii.MORE_KINDS)).collect()
+    assert time.time() - began < 60
