@@ -4,8 +4,8 @@ Features are the byte n-grams of the lower-cased text, hashed into buckets. A te
 mean of its buckets' embeddings; a linear layer and a softmax turn it into probabilities. Training
 is stochastic gradient descent in numpy on a bounded sample of labelled rows (about ``PER_LANG`` rows
 of each of at most ``MOST_LANGS`` languages, ``TRAIN_BYTES`` bytes of each; the bound is these
-parameters, whatever the size of the corpus). A fifth of the sample is kept for calibration: it sets the softmax's temperature and the
-probability under which a prediction is rejected. Prediction reads whole texts. As the mean and the
+parameters, whatever the size of the corpus). A fifth of the sample is kept for calibration: its texts and short pieces
+of them set the softmax's temperature and the probability under which a prediction is rejected. Prediction reads whole texts. As the mean and the
 layer are linear, each bucket's share of the scores is one row of a small table.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; so is
@@ -38,6 +38,8 @@ TRAIN_BYTES = 3000
 #: Passes over the sample, and more of a small one, until it has made so many steps.
 EPOCHS, LEAST_STEPS = 4, 6000
 RATE = 0.5
+#: Sizes of the short pieces that train and calibrate beside whole texts, and how many calibrate at least.
+PIECES, LEAST_PIECES = (20, 60, 200), 2000
 SEED = 7
 UNKNOWN = "und"
 #: Of the calibration rows that are predicted right, at most this share may fall under the threshold.
@@ -138,9 +140,8 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
             rate = RATE * (1 - done / (epochs * len(ids)))
             done += 1
             text = texts[i]
-            size = int(rng.choice((20, 60, 200, len(text))))  # short pieces as well as whole texts
-            at = int(rng.integers(0, max(1, len(text) - size + 1)))
-            found, share = _counts(text[at : at + size])
+            size = int(rng.choice((*PIECES, len(text))))  # short pieces as well as whole texts
+            found, share = _counts(_piece(text, size, rng))
             rows = emb[found]
             mean = share @ rows
             z = mean @ out + bias
@@ -153,7 +154,16 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
             # A mean of k rows moves each by 1/k only, so their step is scaled up.
             emb[found] = rows - (rate * min(len(found), 200)) * share[:, None] * back
     model = Model(names, (emb @ out).astype(np.float32), bias.astype(np.float64))
-    return _calibrated(model, [t for t, f in zip(texts, fits, strict=True) if not f], y[~fits])
+    held, y = [t for t, f in zip(texts, fits, strict=True) if not f], y[~fits]
+    # So many pieces of each that a small sample's least probability is no chance one.
+    times = -(-LEAST_PIECES // max(1, len(held)))
+    pieces = [_piece(t, int(rng.choice(PIECES)), rng) for _ in range(times) for t in held]
+    return _calibrated(model, held + pieces, np.tile(y, 1 + times))
+
+
+def _piece(text: bytes, size: int, rng: np.random.Generator) -> bytes:
+    at = int(rng.integers(0, max(1, len(text) - size + 1)))
+    return text[at : at + size]
 
 
 def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
@@ -171,8 +181,7 @@ def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
     p = at(model.temperature)
     right = p.argmax(1) == y
     if right.any():
-        low = float(np.quantile(p.max(1)[right], REJECTED_SHARE))
-        model.threshold = min(low, 2 / (len(model.langs) + 2))
+        model.threshold = float(np.quantile(p.max(1)[right], REJECTED_SHARE))
     return model
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -47,3 +49,24 @@ def test_odd(odd, none, spark, sf_dir):
     nothing = langid.fit(none)
     assert {r.lang_pred for r in langid.classify(odd, nothing).collect()} == {"und"}
     assert langid.classify(odd, model, names=("a", "b", "c")).columns == [*odd.columns, "a", "b", "c"]
+
+
+def test_junk_and_unlearnt_languages_are_rejected(spark, sf_dir):
+    """The threshold is the calibrated one, which Latin letters alone do not pass."""
+    rng = random.Random(3)
+    words: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id").collect():
+        words.setdefault(r.lang, []).extend(w for w in r.text.split() if w.isalpha())
+    pairs = [(" ".join(rng.choices(words[lang], k=rng.randint(3, 150))).encode(), lang) for lang in sorted(words) for _ in range(250)]
+    model = langid.train(*map(list, zip(*pairs, strict=True)))
+    assert 2 / (len(model.langs) + 2) < model.threshold
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    junk = [" ".join(letters(rng.randint(2, 10)) for _ in range(80)) for _ in range(20)]
+    junk += [base64.b64encode(rng.randbytes(400)).decode() for _ in range(20)]
+    junk += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."]
+    known = [text.decode() for text, _ in pairs]
+    got = langid.classify(spark.createDataFrame(list(enumerate(junk + known)), "doc_id long, text string"), model).collect()
+    accepted = {r.doc_id: r.accepted for r in got}
+    assert not accepted[len(junk) - 1], [r.score for r in got if r.doc_id == len(junk) - 1]
+    assert sum(accepted[i] for i in range(len(junk))) <= 2, sorted(r.score for r in got if r.doc_id < len(junk))
+    assert np.mean([accepted[i] for i in range(len(junk), len(got))]) > 0.995
