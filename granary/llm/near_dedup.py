@@ -44,8 +44,9 @@ from granary.llm.components import components
 CHUNK_BYTES = 4 << 20
 #: SetSketch's base, rate and largest register value.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
-#: Standard deviations under the threshold at which the likelihood rules a pair out.
-MARGIN = 5.0
+#: Standard deviations under the threshold at which the likelihood rules a pair out: one of equal sizes
+#: at the threshold with probability 5e-8 (80 registers, 0.85) or 3e-8 (112 registers, 0.80).
+MARGIN = 6.0
 BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
 QUERY_ROWS = 96
 #: A bucket of more members is taken to be of one kind, and hangs together as a whole.

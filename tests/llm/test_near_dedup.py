@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -128,3 +129,20 @@ def test_components(spark):
     expected = {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 5: 5, 19: 19, 20: 19} | dict.fromkeys(range(100, 161), 100)
     assert got == expected
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("percent", "m"), [(85, 80), (80, 112)])
+def test_pruning_rarely_loses_a_pair_at_the_threshold(percent, m):
+    """By the multinomial of registers that are greater, less and equal, of two sets of one size."""
+    c, base = (nd.BASE - 1) / nd.BASE, math.log(nd.BASE)
+    differ = -math.log(1 - c * (0.5 - percent / 200)) / base  # of a register, each way
+    ways = np.array([(a, b) for a in range(m + 1) for b in range(m + 1 - a)])
+    log = np.cumsum(np.log(np.maximum(np.arange(m + 1), 1)))
+    above, below = ways.T
+    same = m - above - below
+    likely = np.exp(log[m] - log[above] - log[below] - log[same] + (above + below) * math.log(differ) + same * math.log(1 - 2 * differ))
+    at = np.arange(m)
+    others = np.where(at < above[:, None], 0, np.where(at < (above + below)[:, None], 2, 1)).astype(np.uint16)
+    size = np.full(len(ways), 1000)
+    kept = nd.may_reach(percent, np.ones_like(others), others, size, size)
+    assert abs(likely.sum() - 1) < 1e-9 and likely[~kept].sum() < 1e-7
