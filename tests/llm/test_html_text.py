@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
@@ -88,3 +89,124 @@ def test_extract(spark, sf_dir):
     df = spark.createDataFrame([(1, None, "mine"), (2, "", "mine"), (3, "<p>x", "mine"), (3, "<p>x", "mine")], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, None), (2, ""), (3, "x"), (3, "x")]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div style='display:NONE'>n</div><div STYLE='Display : None !important; display:block'>n</div>y", "y"),
+        ("<div style='display:none;display:block'>y</div><p style='/* display:none */'>z", "y\n\nz"),
+        ("<div hidden style='display:block'>y</div><div style='display:inline'>a</div><span style='display:block'>b</span>c", "y\na\nb\nc"),
+        ("<table><tr><td style='visibility:hidden'>n<td>a</table>", "  a"),
+        ("<ul><li style='visibility:hidden'>n<li>a<li style='visibility:collapse'>n<b style='visibility:visible'>y</b></ul>", "- a\n  y"),
+        ("<table style='visibility:hidden'><caption>n</caption>n<tr><td>n</table>y", "y"),
+        ("<table><caption style='visibility:hidden'>n</caption><tr><td>a</table>", "a"),
+        ("<ul style='visibility:hidden'>n<li>n</ul><ol hidden>n<li>n</ol>y", "y"),
+        ("<details><summary>s</summary>n<p>n</p><summary>n</summary></details><details open><summary>t</summary>y</details>", "s\nt\ny"),
+        ("<dialog>n</dialog><dialog open>y</dialog>", "y"),
+        ("<ol reversed><li>a<li>b<li hidden>n<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol type=a start=26><li>a<li>b<li type=I value=4>c<li type=i>d<li type=1>e</ol>", "z. a\naa. b\nIV. c\nv. d\n6. e"),
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\n   d  e\nf  g"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>", "a  b\n   c\n   d\ne  f"),
+        ("<table><tr><td colspan=2 rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+        ("<ul><ul><li>a</ul><li>b</ul>", "  - a\n- b"),
+    ],
+)
+def test_visibility_lists_and_spans(html, text):
+    assert text_of(html) == text
+
+
+def test_wide_cells_line_up():
+    for size in (59, 70, 3_000):
+        got = text_of(f"<table><tr><td>{'x' * size}<td>a<tr><td>y<td>b</table>").split("\n")
+        assert got == ["x" * size + "  a", "y".ljust(size) + "  b"]
+
+
+def test_padding_that_would_dwarf_the_text_becomes_tabs():
+    html = "<table><tr><td>" + "x" * 50_000 + "<td>a" + "<tr><td>y<td>b" * 1_000 + "</table>"
+    assert text_of(html) == "x" * 50_000 + "\ta" + "\ny\tb" * 1_000
+
+
+@pytest.mark.parametrize("deep", [100, 255, 256, 300, 500, 5_000])
+def test_hidden_text_stays_hidden_at_any_depth(deep):
+    assert text_of("<div>" * deep + "a<span hidden>n</span><i style='visibility:hidden'>n<b style='visibility:visible'>b</b></i>c") == "abc"
+    assert text_of("<div>" * deep + "<div style='display:none'>" + "<p>n<div>" * 50 + "n" + "</div>" * 50 + "</div>y") == "y"
+    assert text_of("<b>" * deep + "a<div>b</div>c<br>d" + "</b>" * deep + "e") == "a\nb\nc\nde"
+
+
+def _random_page(rng, words, depth=0, shown=True, gone=False):
+    """Markup of a random tree; words gets those of its words that are visible, by the tree itself."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice("text text inline block list table details".split()) if depth < 6 else "text"
+        if kind == "text":
+            word = f"w{rng.randrange(10**9)}"
+            out.append(f" {word} ")
+            if shown and not gone:
+                words.append(word)
+            continue
+        how = rng.choice(["", "", "", "hidden", "none", "unseen", "seen"])
+        mark = {"": "", "hidden": " HIDDEN", "none": ' style="color:red; DISPLAY:none"', "unseen": " style='Visibility: Hidden'", "seen": " style=visibility:visible"}[how]
+        own = {"unseen": False, "seen": True}.get(how, shown)
+        lost = gone or how in ("hidden", "none")
+        inside = lambda s=own, g=lost: _random_page(rng, words, depth + 1, s, g)
+        if kind == "inline":
+            tag = rng.choice(["b", "span", "a", "em"])
+            out.append(f"<{tag}{mark}>{inside()}</{tag}>")
+        elif kind == "block":
+            tag = rng.choice(["div", "section", "blockquote", "article"])
+            out.append(f"<{tag}{mark}>{inside()}</{tag}>")
+        elif kind == "list":
+            end = rng.choice(["", "</li>"])
+            out.append(f"<ul{mark}>" + "".join(f"<li>{inside()}{end}" for _ in range(rng.randint(1, 3))) + "</ul>")
+        elif kind == "table":
+            rows = "".join("<tr>" + "".join(f"<td>{inside()}" for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3)))
+            out.append(f"<table{mark}>{rows}</table>")
+        else:
+            open_ = rng.random() < 0.5
+            summary = f"<summary>{inside()}</summary>"
+            out.append(f"<details{' open' if open_ else ''}{mark}>{summary}{inside(own, lost or not open_)}</details>")
+    return "".join(out)
+
+
+def test_random_pages_show_just_the_visible_words():
+    rng = random.Random(5)
+    for _ in range(400):
+        words = []
+        html = _random_page(rng, words)
+        got = text_of(html).replace("- ", " ").split()
+        assert sorted(got) == sorted(words), html
+        if "<table" not in html:
+            assert got == words, html
+
+
+def test_random_tables_by_a_matrix():
+    """Each cell's column by marking every field that cells take, one by one."""
+    rng = random.Random(6)
+    for _ in range(300):
+        html, taken, texts, n_rows = "<table>", set(), {}, rng.randint(1, 6)
+        for r in range(n_rows):
+            html += "<tr>"
+            column = 0
+            for _ in range(rng.randint(0, 4)):
+                while (r, column) in taken:
+                    column += 1
+                wide, high, text = rng.randint(1, 3), rng.randint(1, 3), "x" * rng.randint(1, 90)
+                html += f"<td colspan={wide} rowspan={high}>{text}"
+                texts[r, column] = text
+                taken |= {(i, j) for i in range(r, min(n_rows, r + high)) for j in range(column, column + wide)}
+                column += wide
+        used = sorted({c for _, c in texts})
+        at, starts = 0, {}
+        for c in used:
+            starts[c] = at
+            at += max(len(t) for (_, k), t in texts.items() if k == c) + 2
+        lines = []
+        for r in range(n_rows):
+            line = ""
+            for c in used:
+                if (r, c) in texts:
+                    line = line.ljust(starts[c]) + texts[r, c]
+            if line:
+                lines.append(line)
+        assert text_of(html + "</table>") == "\n".join(lines).strip("\n"), html
