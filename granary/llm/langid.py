@@ -1,12 +1,17 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 Features are the byte n-grams of the lower-cased text, hashed into buckets. A text's vector is the
-mean of its buckets' embeddings; a linear layer and a softmax turn it into probabilities. Training
-is stochastic gradient descent in numpy on a bounded sample of labelled rows (about ``PER_LANG`` rows
-of each of at most ``MOST_LANGS`` languages, ``TRAIN_BYTES`` bytes of each; the bound is these
-parameters, whatever the size of the corpus). A fifth of the sample is kept for calibration: its texts and short pieces
-of them set the softmax's temperature and the probability under which a prediction is rejected. Prediction reads whole texts. As the mean and the
-layer are linear, each bucket's share of the scores is one row of a small table.
+mean of its buckets' embeddings; a linear layer and a softmax turn it into probabilities. Training is
+stochastic gradient descent in numpy on a sample of labelled rows: about ``PER_LANG`` of each label, or
+with many labels as many as make ``MOST_ROWS`` together, but never under ``LEAST_ROWS``. Only rows are
+sampled: every label is learnt, and each row counts with its whole text. What the driver holds of a row
+is bounded: a text of up to ``WHOLE`` bytes, or a longer one's n-gram counts and pieces drawn from all
+of it. A fifth of the sample is kept for calibration: its texts and short pieces of them set the
+softmax's temperature and the probability under which a prediction is rejected.
+
+Prediction reads whole texts. As the mean and the layer are linear, each bucket's share of the scores is
+one row of a small table; with more labels than an embedding has dimensions, the table is that of the
+embeddings, so the model's size hardly grows with the labels.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; so is
 every text where no labelled row exists. Repeated rows get one answer; rows with a null label never
@@ -16,6 +21,7 @@ columns that have its outputs' names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +37,10 @@ BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (1, 2, 3, 4)
 PAD = max(ORDERS) - 1
-PER_LANG = 1000
-#: The most frequent labels are learnt, so many at most; the model has a column for each.
-MOST_LANGS = 200
-TRAIN_BYTES = 3000
+#: Rows that train: so many of each label, of all labels together, and of each label at least.
+PER_LANG, MOST_ROWS, LEAST_ROWS = 1000, 40_000, 50
+#: Longer texts come to the driver as counts of n-grams and so many pieces of each size.
+WHOLE, PIECES_EACH = 1 << 16, 8
 #: Passes over the sample, and more of a small one, until it has made so many steps.
 EPOCHS, LEAST_STEPS = 4, 6000
 RATE = 0.5
@@ -63,28 +69,91 @@ def _hashes(padded: np.ndarray, n: int) -> np.ndarray:
 
 
 def _counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and the share of each."""
+    total = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(text), SEGMENT):
+        piece = text[i : i + SEGMENT + PAD]
+        piece += bytes(min(SEGMENT, len(text) - i) + PAD - len(piece))
+        padded = _LOWER[np.frombuffer(piece, np.uint8)]
+        for k in ORDERS:
+            total += np.bincount(_hashes(padded, k), minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found, (total[found] / (len(ORDERS) * len(text))).astype(np.float32)
+
+
+def _few_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a short text."""
     padded = np.concatenate([_LOWER[np.frombuffer(text, np.uint8)], np.zeros(PAD, np.uint8)])
     found, n = np.unique(np.concatenate([_hashes(padded, k) for k in ORDERS]), return_counts=True)
     return found, (n / n.sum()).astype(np.float32)
 
 
+def _whole(text: bytes | Digest) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(text, Digest):
+        return text.found, text.share
+    return _counts(text) if len(text) > BUCKETS // 8 else _few_counts(text)
+
+
+@dataclass
+class Digest:
+    """What trains of a long text: its counts, and pieces of each of PIECES bytes."""
+
+    found: np.ndarray
+    share: np.ndarray
+    pieces: list[list[bytes]]
+
+    @staticmethod
+    def of(text: bytes, seed: int) -> Digest:
+        rng = np.random.default_rng(seed)
+        return Digest(*_counts(text), [[_piece(text, size, rng) for _ in range(PIECES_EACH)] for size in PIECES])
+
+    def to_bytes(self) -> bytes:
+        head = np.array([len(self.found)], np.int32).tobytes()
+        return head + self.found.astype(np.int32).tobytes() + self.share.tobytes() + b"".join(p for of in self.pieces for p in of)
+
+    @staticmethod
+    def from_bytes(data: bytes) -> Digest:
+        n = int(np.frombuffer(data, np.int32, 1)[0])
+        at, pieces = 4 + 8 * n, []
+        for size in PIECES:
+            pieces.append([data[at + i * size : at + (i + 1) * size] for i in range(PIECES_EACH)])
+            at += size * PIECES_EACH
+        return Digest(np.frombuffer(data, np.int32, n, 4), np.frombuffer(data, np.float32, n, 4 + 4 * n), pieces)
+
+
+def _piece(text: bytes | Digest, size: int, rng: np.random.Generator) -> bytes:
+    if isinstance(text, Digest):
+        of = text.pieces[PIECES.index(size)]
+        return of[int(rng.integers(0, len(of)))]
+    at = int(rng.integers(0, max(1, len(text) - size + 1)))
+    return text[at : at + size]
+
+
 @dataclass
 class Model:
-    """scores: each bucket's share of each language's score, by bucket."""
+    """scores: each bucket's share of each language's score, by bucket; or, with a head, its embedding,
+    whose mean the head turns into scores."""
 
     langs: list[str]
     scores: np.ndarray
     bias: np.ndarray
+    head: np.ndarray | None = None
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+    def probabilities(self, texts: list[bytes | Digest]) -> np.ndarray:
         """A row for each text, which must not be empty."""
-        total = np.zeros((len(texts), len(self.langs)))
+        width = self.scores.shape[1]
+        total = np.zeros((len(texts), width))
         # Short texts are summed together, long ones in pieces, so that memory is bounded.
-        most = max(4096, min(SEGMENT, SEGMENT * 8 // max(1, len(self.langs))))
+        most = max(4096, min(SEGMENT, SEGMENT * 8 // max(1, width)))
         group, held = [], 0
+        sizes = np.ones(len(texts), np.int64)
         for i, text in enumerate(texts):
+            if isinstance(text, Digest):
+                total[i] = len(ORDERS) * (text.share @ self.scores[text.found])
+                continue
+            sizes[i] = len(text)
             if len(text) > most:
                 total[i] = self._long(text, most)
                 continue
@@ -95,8 +164,8 @@ class Model:
             held += len(text)
         if group:
             total[group] = self._short([texts[k] for k in group])
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        z = (total / (len(ORDERS) * sizes)[:, None] + self.bias) / self.temperature
+        mean = total / (len(ORDERS) * sizes)[:, None]
+        z = ((mean if self.head is None else mean @ self.head) + self.bias) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
         return z / z.sum(1, keepdims=True)
 
@@ -107,13 +176,13 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(sizes + PAD)[:-1]])
         # Cut at each text's start and at its end: every second sum is that of the gap behind it.
         cuts = np.stack([starts, starts + sizes], 1).ravel()[:-1]
-        total = np.zeros((len(texts), len(self.langs)))
+        total = np.zeros((len(texts), self.scores.shape[1]))
         for n in ORDERS:
             total += np.add.reduceat(self.scores[_hashes(padded, n)], cuts, axis=0, dtype=np.float64)[::2]
         return total
 
     def _long(self, text: bytes, most: int) -> np.ndarray:
-        total = np.zeros(len(self.langs))
+        total = np.zeros(self.scores.shape[1])
         for i in range(0, len(text), most):
             piece = text[i : i + most + PAD]
             piece += bytes(min(most, len(text) - i) + PAD - len(piece))
@@ -123,11 +192,12 @@ class Model:
         return total
 
 
-def train(texts: list[bytes], langs: list[str]) -> Model:
+def train(texts: list[bytes | Digest], langs: list[str]) -> Model:
     """Fit on texts that are not empty and their languages."""
     names = sorted(set(langs))
     rng = np.random.default_rng(SEED)
-    y = np.array([names.index(x) for x in langs], int)
+    place = {name: i for i, name in enumerate(names)}
+    y = np.array([place[x] for x in langs], int)
     fits = rng.random(len(texts)) >= 0.2
     if not fits.any():
         fits[:] = True
@@ -139,9 +209,8 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
         for i in rng.permutation(ids):
             rate = RATE * (1 - done / (epochs * len(ids)))
             done += 1
-            text = texts[i]
-            size = int(rng.choice((*PIECES, len(text))))  # short pieces as well as whole texts
-            found, share = _counts(_piece(text, size, rng))
+            kind = int(rng.integers(0, len(PIECES) + 1))  # short pieces as well as whole texts
+            found, share = _few_counts(_piece(texts[i], PIECES[kind], rng)) if kind < len(PIECES) else _whole(texts[i])
             rows = emb[found]
             mean = share @ rows
             z = mean @ out + bias
@@ -153,7 +222,8 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
             bias -= rate * 0.1 * p
             # A mean of k rows moves each by 1/k only, so their step is scaled up.
             emb[found] = rows - (rate * min(len(found), 200)) * share[:, None] * back
-    model = Model(names, (emb @ out).astype(np.float32), bias.astype(np.float64))
+    flat = len(names) <= DIM
+    model = Model(names, (emb @ out).astype(np.float32) if flat else emb, bias.astype(np.float64), None if flat else out.astype(np.float64))
     held, y = [t for t, f in zip(texts, fits, strict=True) if not f], y[~fits]
     # So many pieces of each that a small sample's least probability is no chance one.
     times = -(-LEAST_PIECES // max(1, len(held)))
@@ -161,11 +231,6 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
     return _calibrated(model, held + pieces, np.tile(y, 1 + times))
 
 
-def _piece(text: bytes, size: int, rng: np.random.Generator) -> bytes:
-    at = int(rng.integers(0, max(1, len(text) - size + 1)))
-    return text[at : at + size]
-
-
 def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
     """Set the temperature of least log loss, and the threshold of rejection."""
     if not texts or len(model.langs) < 2:
@@ -193,20 +258,32 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
     """Train on a sample of the labelled rows that are not held out, chosen by a hash of the id."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    n = {r.l: r.n for r in counts.orderBy(F.col("n").desc(), "l").limit(MOST_LANGS).collect()}
+    # One row a label, of which the model has a column each.
+    n = {r.l: r.n for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    spark = docs.sparkSession
+    small_batches(spark)
+    each = min(per_lang, max(LEAST_ROWS, MOST_ROWS // len(n)))
     scale = 1 << 40
+    shares = [(lang, min(scale, int(scale * each / rows_of))) for lang, rows_of in sorted(n.items())]
+    limits = F.broadcast(spark.createDataFrame(shares, "__l string, __most bigint"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(scale))
-    chosen = F.lit(False)
-    for lang, rows_of in sorted(n.items()):
-        chosen = chosen | ((F.col(lang_col) == lang) & (draw < min(scale, int(scale * per_lang / rows_of))))
-    cut = F.substring(F.col(text_col), 1, TRAIN_BYTES)
-    sample = rows.where(chosen).select(F.col(id_col).alias("k"), cut.alias("t"), F.col(lang_col).alias("l"))
-    found = sample.limit(2 * per_lang * len(n)).collect()
-    found.sort(key=lambda r: (r.l, r.k if r.k is not None else -1, r.t))  # one order, whatever the tasks'
-    return train([r.t.encode()[:TRAIN_BYTES] for r in found], [r.l for r in found])
+    sample = rows.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), draw.alias("draw"))
+    sample = sample.join(limits, F.col("l") == F.col("__l")).where("draw < __most").select("k", "t", "l").limit(2 * each * len(n))
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, CHUNK_BYTES):
+            texts = [t.encode() for t in table["t"].to_pylist()]
+            made = [t if len(t) <= WHOLE else Digest.of(t, zlib.crc32(t)).to_bytes() for t in texts]
+            yield pa.RecordBatch.from_pydict({
+                "k": table["k"].combine_chunks(), "l": table["l"].combine_chunks(), "whole": pa.array([len(t) <= WHOLE for t in texts]),
+                "t": pa.array(made, pa.binary()),
+            })
+
+    found = sample.mapInArrow(digested, "k string, l string, whole boolean, t binary").collect()
+    found.sort(key=lambda r: (r.l, r.k or "", r.t))  # one order, whatever the tasks'
+    return train([bytes(r.t) if r.whole else Digest.from_bytes(bytes(r.t)) for r in found], [r.l for r in found])
 
 
 def classify(
@@ -216,7 +293,7 @@ def classify(
     the text column must be one of strings."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows, one column a language: bounded
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows of DIM columns at most, and DIM numbers a label
     made = list(zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))
     fields = [x for x in docs.schema.fields if x.name not in names]
     others = [x.name for x in fields]

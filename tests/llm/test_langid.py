@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import zlib
 
@@ -24,8 +25,11 @@ def test_never_learns_from_held_out_or_unlabelled_rows(spark, sf_dir, monkeypatc
     seen = []
     monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append((texts, langs)))
     langid.fit(docs.withColumn("lang", langid.F.when(langid.F.col("doc_id") % 3 != 0, langid.F.col("lang"))))
-    allowed = {r.text.encode()[: langid.TRAIN_BYTES] for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id % 3}
-    assert seen[0][0] and set(seen[0][0]) <= allowed
+    allowed = {r.text.encode() for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id % 3}
+    short, long = ([t for t in seen[0][0] if isinstance(t, kind)] for kind in (bytes, langid.Digest))
+    assert short and set(short) <= allowed
+    for digest in long:
+        assert all(any(p in t for t in allowed if len(t) > langid.WHOLE) for of in digest.pieces for p in of)
 
 
 def test_prediction_does_not_depend_on_neighbours(spark, sf_dir):
@@ -70,3 +74,73 @@ def test_junk_and_unlearnt_languages_are_rejected(spark, sf_dir):
     assert not accepted[len(junk) - 1], [r.score for r in got if r.doc_id == len(junk) - 1]
     assert sum(accepted[i] for i in range(len(junk))) <= 2, sorted(r.score for r in got if r.doc_id < len(junk))
     assert np.mean([accepted[i] for i in range(len(junk), len(got))]) > 0.995
+
+
+def plain(model, text):
+    """The probabilities by one n-gram after the other."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text) + bytes(langid.PAD)
+    total = np.zeros(model.scores.shape[1])
+    for at in range(len(text)):
+        for n in langid.ORDERS:
+            h = n * 0x01000193 & 0xFFFFFFFF
+            for i in range(n):
+                h = (h ^ low[at + i]) * langid._MULTIPLIERS[i] & 0xFFFFFFFF
+                h ^= h >> 15
+            total += model.scores[h % langid.BUCKETS]
+    mean = total / (len(langid.ORDERS) * len(text))
+    z = ((mean if model.head is None else mean @ model.head) + model.bias) / model.temperature
+    e = [math.exp(x - max(z)) for x in z]
+    return np.array(e) / sum(e)
+
+
+def made_up(n, rng):
+    """Texts of n invented languages, each with words of its own from a few of the letters."""
+    out = []
+    for k in range(n):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 7)
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(60)]
+        out.append([f"l{k:03}", *[" ".join(rng.choices(words, k=rng.randint(10, 60))) for _ in range(30)]])
+    return out
+
+
+def test_prediction_is_the_plain_sum(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.where("length(text) between 1 and 3000").orderBy("doc_id").limit(25).collect()] + ["ÀÉ", "a", "Z" * 5000]
+    got = {r.doc_id: r for r in langid.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        p = plain(model, t.encode())
+        assert got[i].lang_pred == model.langs[p.argmax()] and abs(got[i].score - p.max()) < 1e-5
+        assert got[i].accepted == (got[i].score >= model.threshold)
+
+
+def test_every_label_is_learnt(spark):
+    """Two hundred and twenty labels, a few of them rare."""
+    rng = random.Random(1)
+    langs = made_up(220, rng)
+    rows = [(lang, t) for lang, *texts in langs for t in (texts[:20] if lang > "l004" else texts[:6])]
+    model = langid.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    assert len(model.langs) == 220 and model.scores.shape == (langid.BUCKETS, langid.DIM)
+    held = [(lang, t) for lang, *texts in langs for t in texts[20:]]
+    p = model.probabilities([t.encode() for _, t in held])
+    right = [model.langs[b] == lang for b, (lang, _) in zip(p.argmax(1), held, strict=True)]
+    assert np.mean(right) > 0.95 and np.mean(right[:50]) > 0.8
+    assert np.allclose(p[7], plain(model, held[7][1].encode()), atol=1e-5)
+
+
+def test_long_texts_train_as_a_whole():
+    """What tells a language may stand at the end of a text only; digests go through bytes and back."""
+    rng = random.Random(2)
+    same = " ".join(rng.choices(["mmm", "nnn", "ooo"], k=30_000)).encode()
+    texts, langs = [], []
+    for _ in range(12):
+        for lang, words in (("x", ["abab", "baba"]), ("y", ["cdcd", "dcdc"])):
+            text = same + b" " + " ".join(rng.choices(words, k=30_000)).encode()
+            digest = langid.Digest.of(text, len(texts))
+            again = langid.Digest.from_bytes(digest.to_bytes())
+            assert np.array_equal(again.found, digest.found) and np.array_equal(again.share, digest.share) and again.pieces == digest.pieces
+            texts.append(again)
+            langs.append(lang)
+    model = langid.train(texts, langs)
+    p = model.probabilities([b"abab baba abab", b"cdcd dcdc cdcd", *texts])
+    assert [model.langs[i] for i in p.argmax(1)] == ["x", "y", *langs]
