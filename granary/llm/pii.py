@@ -7,7 +7,8 @@ the characters around it. The votes of all candidates of the corpus are counted
 expectation-maximisation over the counts estimates how reliable each labeler is and how likely each
 pattern is personal data. These probabilities train the final classifier, a logistic regression on
 the votes and on classes of shape; its weights become one more column expression. The driver only
-ever holds counts by pattern and class, whose number has a fixed bound.
+ever holds counts by pattern and class, whose number has a fixed bound. Texts are searched once: their
+matches are written, and both the training and the result read them.
 
 Base spans are always kept; a candidate that the classifier accepts is added where it overlaps none.
 Positions are code points, ends exclusive. A text's matches are found by ``regexp_extract_all`` and the
@@ -29,7 +30,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import text_or_empty
+from granary.llm.common import materialise, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("secret", "number", "contact")
@@ -58,8 +59,15 @@ CANDIDATES = (
 CONTEXT_CHARS = 24
 RUN = 64
 #: Fixed lists of the gazetteers and of the context labeler.
-KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "eyJ")
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "ch", "at")
+KEY_PREFIXES = (
+    "AKIA", "ASIA", "AIza", "EAA", "SK", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "hf_", "npm_", "pypi-", "dop_v1_", "shpat_",
+    "sk-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "whsec_", "xapp-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "ya29", "eyJ",
+)
+TOP_DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "co", "me", "app", "dev", "eu",
+    "ar", "at", "au", "be", "br", "ca", "ch", "cl", "cn", "cz", "de", "dk", "es", "fi", "fr", "gr", "hu", "ie", "in", "it", "jp", "kr", "mx",
+    "nl", "no", "nz", "pe", "pl", "pt", "ro", "ru", "se", "tr", "ua", "uk", "us", "za",
+)
 BOOK_PREFIXES = ("978", "979")
 FOR_WORDS = (
     "password", "passwd", "pwd", "secret", "token", "key", "api", "bearer", "login", "tel", "phone", "call", "fax",
@@ -292,9 +300,11 @@ def with_accepted(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with seven span arrays, __email to __contact; see ``with_spans`` for their fields."""
-    rows = with_spans(docs, text_col)
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs, or its columns keep, with seven span arrays, __email to __contact; see ``with_spans`` for
+    their fields."""
+    found = with_spans(docs, text_col).select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], *[f"__{k}" for k in BASE_KINDS], "__more")
+    rows = materialise(found, "spans")
     return with_accepted(rows, fit(rows))
 
 
@@ -323,7 +333,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(s)))
 
     merged = F.aggregate("__tagged", F.array().cast(f"array<{kind}>"), join)
-    text = F.col("__text")
+    text = text_or_empty(text_col)
 
     def piece(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.try_element_at(F.col("__merged"), F.when(i > 0, i).otherwise(1))["end"]).otherwise(F.lit(0))
@@ -338,7 +348,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find(docs).select(
+    return find(docs, keep=["doc_id"]).select(
         "doc_id",
         *[F.size(f"__{k}").cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(listing(BASE_KINDS), 256).alias("base_sha256"),
