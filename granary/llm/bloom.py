@@ -1,9 +1,11 @@
 """A split-block Bloom filter made of DataFrame functions only.
 
 A filter is a table of at most n_blocks rows ``(block int, w0..w7 bigint)``; each key sets one bit
-in each of the eight words of its block. Its size has a fixed bound (n_blocks * 72 bytes, whatever
-the number of keys), so it can be broadcast; an overfull filter only passes more false positives,
-which every caller removes by an exact step.
+in each of the eight words of its block. ``blocks_for`` gives it as many blocks as its keys need, up to
+``MAX_BLOCKS``, so its size has a fixed bound (n_blocks * 72 bytes, 19 MB at most) and it can be
+broadcast. With more keys than 64 for each of these blocks (16.8 million) it is overfull and passes more
+false positives, which every caller removes by an exact step: a shuffle join, whose work is then that of
+the join alone.
 """
 
 from __future__ import annotations
@@ -12,7 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 8
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 18
+#: Keys of a block of 512 bits.
+KEYS_PER_BLOCK = 32
+
+
+def blocks_for(n_keys: int) -> int:
+    """The number of blocks that so many keys need, a power of two."""
+    return min(MAX_BLOCKS, 1 << max(6, (n_keys // KEYS_PER_BLOCK).bit_length()))
 
 
 def _block(key: Column, n_blocks: int) -> Column:

@@ -45,13 +45,11 @@ def release(spark: SparkSession) -> None:
 def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: it cuts the lineage, is
     computed once, and outlives any executor. The files stay until ``release``. narrow: for tables of
-    few bytes a document, write as many files as the cluster has cores, or a sixteenth of the shuffle's
-    partitions if that is more; on some file systems each file costs a process in its executor, and
-    many small ones are slow to read."""
+    few bytes a document; they are computed at full width, and their rows then dealt to files of the
+    size that adaptive execution aims at, as many small ones are slow to write and to read."""
     spark = df.sparkSession
     if narrow:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism, partitions // 16))
+        df = df.hint("rebalance")
     top = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     _WRITTEN.append(top)
     path = f"{top}/{name}"

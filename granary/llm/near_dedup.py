@@ -9,15 +9,19 @@
    many edges as members, never their pairs. What hangs together is a candidate group.
 3. Each group is dealt to blocks of bounded size. Within a block, pairs that the likelihood does not
    rule out are verified on the full sets; pairs that are connected already are passed over. A block
-   emits one row a document.
-4. Groups of more than one block go on: some members of each connected part meet until the parts no
-   longer merge; then all members outside their group's largest part are queries, in blocks, against
-   all members of their group. So every pair of a group is compared or known to be connected.
+   emits one row a document. Every member's set is computed once, and written.
+4. Groups of more than one block go on. Some members of each connected part meet until the parts no
+   longer merge. What is left between the parts is searched by prefixes: all members of a group sort
+   their shingles in one order, those that a few of its members share last; two sets that reach the
+   threshold have their first common shingle among the first (1 - t) n + 1 of the larger and the first
+   (1 - 2t / (1 + t)) n + 1 of the smaller one. So members of different parts meet by such a shingle
+   only, however many they are; pages of one template whose own words set them apart never do. Every
+   pair that meets is verified, in blocks, and a task's rows are at most two for each such pair.
 5. Connected components of the verified links are the result.
 
 Sets are compared by the 64-bit hashes of their shingles. A link between documents that share no
 bucket, directly or through others, would be missed: with the default bands less than one in a
-million at the threshold.
+million at the threshold. All else is exact: the order of the shingles decides the work, not the result.
 
 Defined results: a null or empty text, or one of white space only, has no shingle and is linked with
 nothing; fewer words than a shingle has make one shingle; rows that share an id are one document; rows
@@ -48,7 +52,12 @@ BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: at the threshold with probability 5e-8 (80 registers, 0.85) or 3e-8 (112 registers, 0.80).
 MARGIN = 6.0
 BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
-QUERY_ROWS = 96
+#: Members of a group whose shingles are counted for its order: so many, with so many shingles together.
+ORDER_ROWS, ORDER_SHINGLES = 64, 1_000_000
+#: Members that are sorted in one task by their group's order.
+SORT_ROWS = 1024
+#: A task that compares sets reads about so many bytes of them.
+TASK_BYTES = 32 << 20
 #: A bucket of more members is taken to be of one kind, and hangs together as a whole.
 BUCKET_ROWS = 512
 #: Members of each connected part that stand for it while a large group's parts are merged.
@@ -224,16 +233,17 @@ def _with_sets(docs: DataFrame, members: DataFrame, config: Config) -> DataFrame
             yield from out.append_column("registers", pa.array(made, pa.binary())).combine_chunks().to_batches()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    # Most texts are no members': a filter of fixed size keeps them out of the shuffle.
-    wanted = bloom.build(members.select(F.xxhash64("id").alias("__key")).distinct(), "__key", bloom.MAX_BLOCKS)
-    likely = bloom.probe(docs.withColumn("__key", F.xxhash64("id")), "__key", wanted, "__maybe", bloom.MAX_BLOCKS)
+    # Most texts are no members': a filter keeps them out of the shuffle.
+    n_blocks = bloom.blocks_for(members.count())
+    wanted = bloom.build(members.select(F.xxhash64("id").alias("__key")), "__key", n_blocks)
+    likely = bloom.probe(docs.withColumn("__key", F.xxhash64("id")), "__key", wanted, "__maybe", n_blocks)
     rows = likely.where("__maybe").select("id", "text").join(members.hint("merge"), "id").select(*names, "text")
     return rows.mapInArrow(run, f"{kinds}, hashes binary, registers binary").where(F.length("hashes") > 0)
 
 
-def _linked(rows: DataFrame, config: Config, keys: list[str]) -> DataFrame:
-    """rows: keys of a task, id, label, query, hashes, registers. Returns (a, b): links between
-    labels, one for each part that met another in its task."""
+def _linked(rows: DataFrame, config: Config, keys: list[str], shingles_: int) -> DataFrame:
+    """rows: keys of a task, id, label, query, hashes, registers; shingles_: how many they have together.
+    Returns (a, b): links between labels, one for each part that met another in its task."""
     percent = config.percent
 
     def one(task: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -268,7 +278,7 @@ def _linked(rows: DataFrame, config: Config, keys: list[str]) -> DataFrame:
     place = F.xxhash64(group)
     for step, number in zip((1, 31), reversed(numbers), strict=False):
         place = place + F.col(number) * step
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * shingles_ // TASK_BYTES))
     dealt = rows.repartitionById(n, F.pmod(place, F.lit(n)).cast("int")).sortWithinPartitions(*keys)
     return dealt.select(*keys, "label", "query", "hashes", "registers").mapInArrow(run, "a bigint, b bigint")
 
@@ -342,14 +352,16 @@ def _candidate_groups(classes: DataFrame, config: Config, bucket_rows: int) -> D
     keyed = banded.select("id", key.alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"))
     buckets = materialise(buckets.where("size > 1"), "buckets", narrow=True)
-    filter_ = bloom.build(buckets.select(F.col("key").alias("__key")), "__key", bloom.MAX_BLOCKS)
-    shared = bloom.probe(keyed, "key", filter_, "__maybe", bloom.MAX_BLOCKS).where("__maybe")
+    n_blocks = bloom.blocks_for(buckets.count())
+    filter_ = bloom.build(buckets.select(F.col("key").alias("__key")), "__key", n_blocks)
+    shared = bloom.probe(keyed, "key", filter_, "__maybe", n_blocks).where("__maybe")
     members = materialise(shared.select("id", "key").join(buckets, "key"), "bucket_members", narrow=True)
     large = members.where(F.col("size") > bucket_rows).where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     small = members.where(F.col("size") <= bucket_rows).select("key", "id").join(classes.select("id", "n", "registers").hint("merge"), "id")
     edges = large.unionByName(_bucket_edges(small, config)).distinct()
     groups = components(edges).select(F.col("node").alias("id"), F.col("label").alias("grp"))
-    return groups.join(classes.select("id", "n"), "id")
+    # Rows that share an id may be of several classes.
+    return groups.join(classes.select("id", "n"), "id").groupBy("id", "grp").agg(F.max("n").alias("n"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -367,12 +379,121 @@ def _blocks(rows: DataFrame, most_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.join(totals, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: int, query_rows: int) -> DataFrame:
+def prefix_sizes(percent: int, n: int) -> tuple[int, int]:
+    """How many of a set's n shingles, in the common order, meet those of sets that are not smaller, and
+    those of any set that it may be linked with."""
+    return n + 1 - -(-2 * percent * n // (100 + percent)), n + 1 - -(-percent * n // 100)
+
+
+def _orders(members: DataFrame) -> DataFrame:
+    """members: grp, id, hashes. (grp, hashes, times): the shingles that more than one of a few members of a
+    group have, sorted, and how many of them have each."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id"))
+    few = members.withColumn("__rank", rank).where(F.col("__rank") <= ORDER_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = None, [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if held:
+                found, times = np.unique(np.concatenate(held), return_counts=True)
+                found, times = found[times > 1], times[times > 1].astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({"grp": pa.array([at], pa.int64()), "hashes": pa.array([found.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for grp, hashes in zip(batch["grp"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+                if grp != at:
+                    yield from counted()
+                    at, held, size = grp, [], 0
+                size += len(hashes) // 8
+                if size <= ORDER_SHINGLES:
+                    held.append(np.frombuffer(hashes, np.uint64))
+        yield from counted()
+
+    return few.repartition("grp").sortWithinPartitions("grp", "__rank").select("grp", "hashes").mapInArrow(run, "grp bigint, hashes binary, times binary")
+
+
+def _prefixes(members: DataFrame, orders: DataFrame, config: Config) -> DataFrame:
+    """members: grp, id, label, n, hashes. (key, grp, id, label, n, first): the shingles by which each may meet
+    another member of its group, as keys; first: whether it also meets larger sets by this one."""
+    percent = config.percent
+    sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SORT_ROWS).cast("int").alias("chunks"))
+    sizes = materialise(sizes, "chunks", narrow=True)
+    none = F.lit(None)
+    own = members.join(sizes, "grp").select(
+        "grp", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "id", "label", "n", "hashes", none.cast("binary").alias("times")
+    )
+    shared = orders.join(sizes, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"),
+        none.cast("bigint").alias("id"), none.cast("bigint").alias("label"), none.cast("bigint").alias("n"), "hashes", "times",
+    )
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, common, times = None, *empty
+        for batch in batches:
+            out: list[tuple[np.ndarray, int, int, int, int, int]] = []
+            for grp, chunk, kind, id_, label, n, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, chunk) != at:
+                    at, (common, times) = (grp, chunk), empty
+                found = np.frombuffer(hashes, np.uint64)
+                if kind == 0:
+                    common, times = found, np.frombuffer(counts, np.uint8)
+                    continue
+                own_times = np.zeros(len(found), np.uint8)
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    own_times = np.where(common[place] == found, times[place], 0)
+                mixed = _mix(found + _MIX2)
+                index, probe = prefix_sizes(percent, len(found))
+                keys = mixed[np.lexsort((mixed, own_times))[:probe]]
+                out.append((_mix(keys ^ np.uint64(grp & 0xFFFFFFFFFFFFFFFF)).view(np.int64), index, grp, id_, label, n))
+            if out:
+                many = [len(keys) for keys, *_ in out]
+                repeated = {c: pa.array(np.repeat([r[k] for r in out], many), pa.int64()) for k, c in ((2, "grp"), (3, "id"), (4, "label"), (5, "n"))}
+                first = np.concatenate([np.arange(len(keys)) < index for keys, index, *_ in out])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([r[0] for r in out])), **repeated, "first": pa.array(first)})
+
+    small_batches(members.sparkSession)
+    dealt = own.unionByName(shared).repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "kind")
+    return dealt.mapInArrow(run, "key bigint, grp bigint, id bigint, label bigint, n bigint, first boolean")
+
+
+def _meeting(members: DataFrame, config: Config) -> DataFrame:
+    """members: grp, id, label, n, hashes, main. (grp, a, b) of the members of different parts that meet by a
+    prefix, a's set not being the larger. main: whether a member is in its group's largest part."""
+    orders = materialise(_orders(members.select("grp", "id", "hashes")), "orders")
+    keys = _prefixes(members, orders, config)
+    keys = materialise(keys.join(members.select(F.col("id").alias("__id"), "main").distinct(), F.col("id") == F.col("__id")).drop("__id"), "prefixes")
+    several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("first").alias("any")).where("low < high and any")
+    keys = materialise(keys.join(several.select("key"), "key", "left_semi"), "meetings")
+    small, large = keys.where("first").alias("x"), keys.alias("y")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        fits = (F.col("x.label") != F.col("y.label")) & (100 * F.col("x.n") >= config.percent * F.col("y.n"))
+        order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & fits & order).select("x.grp", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    # Members of one part need not meet, so those of the largest part meet only the others.
+    return met(small.where("not main"), large).unionByName(met(small.where("main"), large.where("not main"))).distinct()
+
+
+def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: int) -> DataFrame:
     """(id, label) of the members (id, grp, n) after all verified links within their groups."""
     labels = materialise(_blocks(members, most_rows).withColumn("label", F.col("id")), "members", narrow=True)
-    tasks = labels.select("id", "grp", "block", "label").withColumn("query", F.lit(True))
-    links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "block"]), "links", narrow=True)
-    labels = _merged(labels, links)
+    sets = materialise(_with_sets(docs, labels.select("id", "grp", "blocks", "block"), config), "sets")
+
+    def links_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """rows: keys, id, n, label, query."""
+        n = rows.agg(F.sum("n")).first()[0] or 0
+        tasks = rows.select("id", *keys, "label", "query").join(sets.select("id", "hashes", "registers"), "id")
+        return materialise(_linked(tasks, config, keys, n), "links", narrow=True)
+
+    n = labels.agg(F.sum("n")).first()[0] or 0
+    first = sets.select("id", "grp", "block", F.col("id").alias("label"), F.lit(True).alias("query"), "hashes", "registers")
+    labels = _merged(labels, materialise(_linked(first, config, ["grp", "block"], n), "links", narrow=True))
     large = labels.where("blocks > 1")
     if large.isEmpty():
         return labels.select("id", "label")
@@ -383,26 +504,29 @@ def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: in
         rank = F.row_number().over(_of_part())
         speakers = _blocks(large.withColumn("__rank", rank).where(F.col("__rank") <= SPEAKERS).drop("__rank"), most_rows)
         speakers = materialise(speakers.withColumn("query", F.lit(True)), "speakers", narrow=True)
-        tasks = speakers.select("id", "grp", "block", "label", "query")
-        links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "block"]), "links", narrow=True)
+        links = links_of(speakers, ["grp", "block"])
         if links.isEmpty():
             break
         large = _merged(large, links)
         if speakers.where("blocks > 1").isEmpty():
             break
-    # Members outside their group's largest part ask all members of the group.
+    # Members of different parts that may still be linked meet by prefixes.
     parts = large.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = materialise(parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main")), "main", narrow=True)
-    outside = large.join(main, "grp").where("label <> main").drop("main")
-    outside = materialise(_blocks(outside, query_rows).withColumnRenamed("blocks", "q_blocks").withColumnRenamed("block", "q"), "queries", narrow=True)
-    asked = outside.select("grp", "q_blocks").distinct()
-    targets = materialise(_blocks(large, most_rows).join(asked, "grp"), "targets", narrow=True)
-    counts = targets.select("grp", "blocks").distinct()
-    ask = outside.join(counts, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    answer = targets.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-    cols = ["id", "grp", "q", "block", "label"]
-    tasks = ask.select(*cols, F.lit(True).alias("query")).unionByName(answer.select(*cols, F.lit(False).alias("query")))
-    links = materialise(_linked(_with_sets(docs, tasks, config), config, ["grp", "q", "block"]), "links", narrow=True)
+    main = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    main = materialise(main.where("parts > 1").drop("parts"), "main", narrow=True)
+    open_ = large.join(main, "grp").withColumn("main", F.col("label") == F.col("main"))
+    open_ = materialise(_blocks(open_, most_rows), "open", narrow=True)
+    if open_.isEmpty():
+        return large.select("id", "label").unionByName(rest)
+    meeting = _meeting(open_.join(sets.where("blocks > 1").select("id", "hashes"), "id"), config)
+    meeting = materialise(meeting, "meeting", narrow=True)
+    place = lambda side, name: open_.select(F.col("id").alias(side), F.col("block").alias(name))
+    asked = meeting.join(place("a", "q"), "a").join(place("b", "block"), "b")
+    both = asked.select("grp", "q", "block", F.col("a").alias("id"), F.lit(True).alias("query")).unionByName(
+        asked.select("grp", "q", "block", F.col("b").alias("id"), F.lit(False).alias("query"))
+    )
+    tasks = both.groupBy("grp", "q", "block", "id").agg(F.max("query").alias("query")).join(open_.select("id", "n", "label"), "id")
+    links = links_of(materialise(tasks, "tasks", narrow=True), ["grp", "q", "block"])
     return _merged(large, links).select("id", "label").unionByName(rest)
 
 
@@ -418,7 +542,6 @@ def find(
     text_col: str = "text",
     id_col: str = "doc_id",
     most_rows: int = BLOCK_ROWS,
-    query_rows: int = QUERY_ROWS,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id that its links reach) and
@@ -431,7 +554,16 @@ def find(
     )
     classes = materialise(classes, "classes", narrow=True)
     members = _candidate_groups(classes, config, bucket_rows)
-    labels = _verified(rows.where(F.col("id").isNotNull()), members, config, most_rows, query_rows).where("id <> label")
+    labels = _verified(rows.where(F.col("id").isNotNull()), members, config, most_rows).where("id <> label")
+    # Rows that share an id but not their sets connect their classes.
+    sets = F.struct("s1", "s2")
+    shared = some.groupBy("id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low <> high").select("id")
+    shared = materialise(shared, "shared_ids", narrow=True)
+    if not shared.isEmpty():
+        own = some.select(F.col("id").alias("b"), "s1", "s2").join(shared.withColumnRenamed("id", "b"), "b")
+        own = own.join(classes.select(F.col("id").alias("a"), "s1", "s2"), ["s1", "s2"]).select("a", "b")
+        edges = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(own)
+        labels = components(edges).select(F.col("node").alias("id"), "label").where("id <> label")
     # Only classes of several rows, or linked to another, have a component that is not their own id.
     of_class = classes.join(labels.groupBy("id").agg(F.min("label").alias("label")), "id", "left").where("copies > 1 or label is not null")
     of_class = materialise(of_class.select("s1", "s2", F.coalesce("label", "id").alias("component")), "components", narrow=True)
@@ -444,11 +576,12 @@ def find(
 
 
 def deduplicate(docs: DataFrame, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:  # noqa: B008
-    """The rows of docs that stay: of each component the document with the least id. A filter of
-    fixed size lets most rows pass; the others meet the ids that go in an exact join."""
+    """The rows of docs that stay: of each component the document with the least id. A filter lets most
+    rows pass; the others meet the ids that go in an exact join."""
     gone = materialise(find(docs, config, text_col, id_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone", narrow=True)
-    filter_ = bloom.build(gone.withColumn("__key", F.xxhash64("__gone")), "__key", bloom.MAX_BLOCKS)
-    rows = bloom.probe(docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("bigint"))), "__key", filter_, "__maybe", bloom.MAX_BLOCKS)
+    n_blocks = bloom.blocks_for(gone.count())
+    filter_ = bloom.build(gone.withColumn("__key", F.xxhash64("__gone")), "__key", n_blocks)
+    rows = bloom.probe(docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("bigint"))), "__key", filter_, "__maybe", n_blocks)
     stay = rows.where("__maybe").join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
     return rows.where("not __maybe").select(*docs.columns).unionByName(stay.select(*docs.columns))
 

@@ -79,8 +79,8 @@ def test_large_groups_in_small_blocks(spark):
     config = nd.Config(3, 85, 20)
     expected = brute(rows, 3, 85)
     assert len({c for _, c in expected.values()}) < 150
-    assert found(df, config, most_rows=16, query_rows=8) == expected
-    assert found(df, config, most_rows=16, query_rows=8, bucket_rows=3) == expected
+    assert found(df, config, most_rows=16) == expected
+    assert found(df, config, most_rows=16, bucket_rows=3) == expected
     assert found(df, config) == expected
 
 
@@ -146,3 +146,67 @@ def test_pruning_rarely_loses_a_pair_at_the_threshold(percent, m):
     size = np.full(len(ways), 1000)
     kept = nd.may_reach(percent, np.ones_like(others), others, size, size)
     assert abs(likely.sum() - 1) < 1e-9 and likely[~kept].sum() < 1e-7
+
+
+def test_prefixes_meet_wherever_sets_reach_the_threshold():
+    """Two sets in one order: the first common element lies in both prefixes."""
+    rng = random.Random(4)
+    for percent in (80, 85):
+        met = 0
+        for _ in range(4000):
+            universe = list(range(rng.randint(1, 60)))
+            x = sorted(rng.sample(universe, rng.randint(1, len(universe))))
+            y = sorted((set(x) - set(rng.sample(x, rng.randint(0, len(x) // 6)))) | set(rng.sample(universe, rng.randint(0, len(universe) // 12))))
+            if y and 100 * len(set(x) & set(y)) >= percent * len(set(x) | set(y)):
+                x, y = sorted((x, y), key=len)
+                assert set(x[: nd.prefix_sizes(percent, len(x))[0]]) & set(y[: nd.prefix_sizes(percent, len(y))[1]])
+                met += 1
+        assert met > 500
+
+
+def template(n, size, own, seed, kinds=1):
+    """Pages of one template, each with a run of words of its own."""
+    rng = random.Random(seed)
+    bases = [[f"t{k}w{i}" for i in range(size)] for k in range(kinds)]
+    return [" ".join(bases[i % kinds] + [f"o{rng.randrange(10**9)}" for _ in range(own)]) for i in range(n)]
+
+
+def test_work_on_templates_grows_with_their_number(spark, monkeypatch):
+    """Pages of one template at a similarity of 0.71 to 0.74, under the threshold: all are candidates of one
+    another, yet the rows that tasks compare grow in proportion."""
+    seen = []
+    plain = nd._linked
+    monkeypatch.setattr(nd, "_linked", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
+    work = []
+    for n in (400, 800, 1600, 3200):
+        seen.clear()
+        rows = [(i, t) for i, t in enumerate(template(n, 100, 18, n))]
+        got = found(spark.createDataFrame(rows, "doc_id long, text string"), nd.Config(3, 85, 20))
+        assert got == {i: (116, i) for i in range(n)}
+        work.append(sum(seen))
+    assert all(b <= 2.3 * a for a, b in zip(work, work[1:])), work
+
+
+def test_links_in_large_groups_of_templates(spark):
+    """Of many pages of two templates some are near copies of others, in other blocks, and are found."""
+    rng = random.Random(9)
+    texts = template(300, 100, 14, 1, kinds=2) + template(200, 60, 4, 2)
+    for _ in range(120):
+        words = rng.choice(texts).split()
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 3, 85)
+    for blocks in (16, 64):
+        assert found(df, nd.Config(3, 85, 20), most_rows=blocks) == expected
+    expected = brute(rows, 5, 80)
+    assert found(df, nd.Config(), most_rows=16, bucket_rows=8) == expected
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = near_copies(2, 60, 60, 1), near_copies(2, 60, 60, 2)
+    rows = [(1, a[0]), (1, b[0]), (2, a[0] + " more"), (3, b[0] + " more"), (4, "something else"), (4, a[0])]
+    got = nd.find(spark.createDataFrame(rows, "doc_id long, text string"), nd.Config(3, 85, 20)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1)]
