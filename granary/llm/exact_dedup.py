@@ -1,8 +1,8 @@
 """Exact deduplication by progressive refinement, with DataFrame functions only.
 
 Rows are grouped by length, then by the hash of a prefix, then by the SHA-256 of the whole text.
-Each step's surviving groups (two rows or more) go into a split-block Bloom filter of fixed size;
-the next step computes its costlier key only where the filter says that a row may belong to one.
+Each step's surviving groups (two rows or more) go into a split-block Bloom filter that is as large as
+they need, up to a bound; the next step goes on only where the filter says that a row may belong to one.
 Filters err on one side only, so they save work and never change the result; whole texts are never
 shuffled to find groups, only keys of a few dozen bytes.
 
@@ -30,26 +30,26 @@ def _groups(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _refined(docs: DataFrame, text_col: str, id_col: str, digest_all: bool) -> DataFrame:
-    """docs with __len, and __sha: null where the refinement shows that a text has no copy
-    (unless digest_all); __hit tells these from the others."""
-    text = text_or_empty(text_col)
-    by_length = docs.withColumn("__len", F.octet_length(text).cast("bigint"))
-    lengths = bloom.build(_groups(by_length.select("__len"), "__len"), "__key")
-
-    same_length = bloom.probe(by_length.withColumn("__key", F.xxhash64("__len")), "__key", lengths, "__hit")
-    prefix = F.when(F.col("__hit"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)))
-    by_prefix = same_length.withColumn("__pre", prefix)
-    prefixes = bloom.build(
-        _groups(by_prefix.where("__hit").select("__len", "__pre"), "__len", "__pre"), "__key", bloom.MAX_BLOCKS
-    )
+def _filter(groups: DataFrame) -> tuple[DataFrame, int]:
+    """The filter of some groups' hashes, and its number of blocks."""
+    keys = materialise(groups, "groups", narrow=True)
+    n_blocks = bloom.blocks_for(keys.count())
+    return bloom.build(keys, "__key", n_blocks), n_blocks
 
-    same_prefix = bloom.probe(
-        by_prefix.withColumn("__key", F.when(F.col("__hit"), F.xxhash64("__len", "__pre"))),
-        "__key", prefixes, "__hit", bloom.MAX_BLOCKS,
-    )
+
+def _refined(docs: DataFrame, text_col: str, digest_all: bool) -> DataFrame:
+    """docs with __sha: null where the refinement shows that a text has no copy (unless digest_all); __hit
+    tells these from the others. Two reads of the texts: one for lengths and prefixes, which are written
+    and then refined, one for the digests of what survives."""
+    text = text_or_empty(text_col)
+    keyed = docs.withColumn("__len", F.octet_length(text).cast("bigint")).withColumn("__pre", F.xxhash64(F.substring(text, 1, PREFIX_CHARS)))
+    keys = materialise(keyed.select("__len", "__pre"), "lengths")
+    lengths, n_blocks = _filter(_groups(keys, "__len"))
+    same_length = bloom.probe(keys.withColumn("__key", F.xxhash64("__len")), "__key", lengths, "__hit", n_blocks)
+    prefixes, n_blocks = _filter(_groups(same_length.where("__hit"), "__len", "__pre"))
+    same_prefix = bloom.probe(keyed.withColumn("__key", F.xxhash64("__len", "__pre")), "__key", prefixes, "__hit", n_blocks)
     sha = F.sha2(text, 256)
-    return same_prefix.withColumn("__sha", sha if digest_all else F.when(F.col("__hit"), sha)).drop("__key", "__pre")
+    return same_prefix.withColumn("__sha", sha if digest_all else F.when(F.col("__hit"), sha)).drop("__key", "__len", "__pre")
 
 
 def _kept(rows: DataFrame, id_col: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _kept(rows: DataFrame, id_col: str) -> DataFrame:
 def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest_all: bool = False) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256 (null for texts that the
     refinement shows to be unique, unless digest_all)."""
-    rows = _refined(docs, text_col, id_col, digest_all).select(id_col, "__hit", "__sha")
+    rows = materialise(_refined(docs, text_col, digest_all).select(id_col, "__hit", "__sha"), "digests")
     # A written table, not the aggregate itself: the join then deals out both sides anew, and
     # Spark can split a large group's rows over several tasks.
     groups = materialise(_kept(rows, id_col).where("__size > 1"), "copies", narrow=True)
@@ -82,7 +82,7 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     Rows that the filters rule out pass straight through. The others meet their group's keeper by
     hash and id together, so that a large group spreads over the partitions.
     """
-    rows = _refined(docs, text_col, id_col, False)
+    rows = _refined(docs, text_col, False)
     keepers = _kept(rows.select(id_col, "__hit", "__sha"), id_col).select(
         F.col("__sha").alias("__group"), "__keep"
     )
