@@ -14,7 +14,8 @@ segments with enough overlap, so memory is bounded by the segment, not the text.
 
 ``compare_with_next`` pairs each document with the one that follows in descending id order. Rows
 are dealt by ranges of the id and sorted within each; the first row of each range is also given to
-the range before it, so no task needs more than its own range and one text of the next.
+the range before it, so no task needs more than its own range and one text of the next. Texts are read
+twice: for the counts of classes and bytes, and for the fingerprints.
 
 Defined results: a null text is empty; the empty text has no feature, and is like only itself
 (likeness 1); a text without a window of middling entropy (all short ones) has one feature, its
@@ -206,24 +207,30 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return _one_way(a, b) if len(a) < len(b) else _one_way(b, a)
 
 
-def fit_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The rank of each entropy class, from its count over all texts: 0 is the rarest."""
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """The rank of each entropy class, from its count over all texts: 0 is the rarest; and the bytes of
+    all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, CHUNK_BYTES):
-            total = Corpus([t.encode() for t in table["t"].to_pylist()]).histogram()
+            corpus = Corpus([t.encode() for t in table["t"].to_pylist()])
+            total = corpus.histogram()
             seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"class": seen.astype(np.int32), "n": total[seen]})
+            found = np.append(seen, -1), np.append(total[seen], corpus.sizes.sum())  # -1: the bytes
+            yield pa.RecordBatch.from_pydict({"class": found[0].astype(np.int32), "n": found[1]})
 
     small_batches(docs.sparkSession)
     counted = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "class int, n bigint")
-    total = np.zeros(CLASSES, np.int64)
-    for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows at most
-        total[r["class"]] = r["n"]
+    found = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # CLASSES + 1 rows at most
+    total = np.array([found.get(c, 0) for c in range(CLASSES)], np.int64)
     ranks = np.empty(CLASSES, np.uint32)
     ranks[np.lexsort((np.arange(CLASSES), total))] = np.arange(CLASSES, dtype=np.uint32)
     ranks[:LEAST_CLASS] = _NONE
-    return ranks
+    return ranks, found.get(-1, 0)
+
+
+def fit_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    return fit(docs, text_col)[0]
 
 
 def fingerprint(docs: DataFrame, ranks: np.ndarray, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
@@ -262,27 +269,29 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def compare_with_next(docs: DataFrame, ranks: np.ndarray, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def compare_with_next(docs: DataFrame, ranks: np.ndarray, text_col: str = "text", id_col: str = "doc_id", n_bytes: int | None = None) -> DataFrame:
     """For each row: its size, edited text's hash, both fingerprints, and the likeness of its own to
-    the edited text's and to the next document's."""
+    the edited text's and to the next document's. n_bytes: the bytes of all texts, if they are known."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)), MOST_RANGES)
+    if n_bytes is None:
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // RANGE_BYTES)), MOST_RANGES)
     cuts = [i / n for i in range(n - 1, 0, -1)]
-    bounds = rows.agg(F.percentile_approx("id", F.lit(cuts), 100 * n)).first()[0] if cuts else []
+    bounds = rows.agg(F.percentile_approx("id", F.lit(cuts), min(10 * n, MOST_RANGES))).first()[0] if cuts else []
     bounds = sorted(set(bounds or []), reverse=True)
     rows = rows.withColumn("part", _range_of(F.col("id"), bounds))
     # As many rows as ranges: the first id of each, and so the one that follows each range's last.
     firsts = {r.part: r.id for r in rows.groupBy("part").agg(F.max("id").alias("id")).collect()}
     order = sorted(firsts)
-    after = [(part, firsts[order[(i + 1) % len(order)]]) for i, part in enumerate(order)]
-    guests = F.broadcast(spark.createDataFrame(after, "part int, id bigint"))
-    guest_rows = rows.drop("part").join(guests.withColumnRenamed("id", "first"), F.col("id").eqNullSafe(F.col("first")))
+    before = [(firsts[part], order[i - 1]) for i, part in enumerate(order)]
+    guests = F.broadcast(spark.createDataFrame(before, "first bigint, host int"))
+    own = F.struct("part", F.lit(False).alias("guest"))
+    copies = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("host").alias("part"), F.lit(True).alias("guest"))))
     dealt = (
-        rows.withColumn("guest", F.lit(False))
-        .unionByName(guest_rows.drop("first").withColumn("guest", F.lit(True)))
+        rows.join(guests, F.col("id").eqNullSafe(F.col("first")), "left")
+        .select("id", "text", F.inline(copies))
         .repartitionById(max(n, 1), F.col("part").cast("int"))
         .sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "text")
     )
@@ -333,4 +342,5 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return compare_with_next(docs, fit_ranks(docs))
+    ranks, n_bytes = fit(docs)
+    return compare_with_next(docs, ranks, n_bytes=n_bytes)

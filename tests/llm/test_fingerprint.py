@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from collections import Counter
@@ -91,3 +92,62 @@ def test_odd(spark, odd, none, ranks):
     one = fp.compare_with_next(odd.where("doc_id = 7"), ranks).first()
     assert one.near_next == 1.0
     assert fp.fingerprint(odd, ranks).where("id = 'mine' and fingerprint is not null").count() == odd.count()
+
+
+def filters(coded: str) -> list[set[int]]:
+    """The bits set in each filter of a written fingerprint."""
+    n, data = coded.split(":")
+    data = base64.b64decode(data)
+    size = fp.FILTER_BITS // 8
+    assert len(data) == int(n) * size
+    return [{i for i in range(fp.FILTER_BITS) if data[k * size + i // 8] >> (7 - i % 8) & 1} for k in range(int(n))]
+
+
+def plain_likeness(a: list[set[int]], b: list[set[int]]) -> float:
+    """Filter by filter: shared bits above chance over the most that could be shared."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+
+    def one_way(xs, ys):
+        best = []
+        for x in xs:
+            each = []
+            for y in ys:
+                most, chance = min(len(x), len(y)), len(x) * len(y) / fp.FILTER_BITS
+                floor = chance + fp.CUTOFF * (most - chance)
+                each.append(min(1, max(0, (len(x & y) - floor) / max(most - floor, 1e-9))))
+            best.append(max(each))
+        return sum(best) / len(best)
+
+    if len(a) == len(b):
+        return (one_way(a, b) + one_way(b, a)) / 2
+    return one_way(a, b) if len(a) < len(b) else one_way(b, a)
+
+
+def test_likeness_and_filters_by_brute_force(spark, sf_dir, ranks):
+    """What the query returns, from its texts: the filters by features one after the other, the likeness by sets of bits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 4000").select("doc_id", "text").limit(60)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fp.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), ranks).collect()}
+
+    def built(text: bytes) -> list[set[int]]:
+        hashes = [int(h) for h in fp.Corpus([text])._hashes(np.array(brute_features(text, ranks), int))]
+        if not hashes and text:
+            hashes = [int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")]
+        out = [set() for _ in range(-(-len(hashes) // fp.PER_FILTER))]
+        for i, h in enumerate(hashes):
+            for k in range(fp.PROBES):
+                bit = (h >> (11 * k)) % fp.FILTER_BITS
+                out[i // fp.PER_FILTER].add(bit)
+        return out
+
+    assert len(rows) > 30
+    for (key, text), (after, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        r = got[key]
+        half = len(text) // 2
+        own, edited = filters(r.fingerprint), filters(r.edited_fingerprint)
+        assert own == built(text.encode()) and edited == built((text[: len(text) - half] + following[:half]).encode())
+        assert abs(r.near_edited - plain_likeness(own, edited)) < 1e-9
+        assert abs(r.near_next - plain_likeness(own, filters(got[after].fingerprint))) < 1e-9
