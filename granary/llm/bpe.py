@@ -164,13 +164,29 @@ def _mapped(df: DataFrame, read: str, write: str, kind: T.DataType, f: Callable[
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """docs with a column of ids (array<int>)."""
     path = path or default_path()
+    return _mapped(_with_words(docs, text_col, path), "__words", ids_col, T.ArrayType(T.IntegerType()), _encode, path)
+
+
+def _count(words: pa.Array, path: str) -> pa.Array:
+    """A list of words per document becomes its number of ids."""
+    coded = pc.list_flatten(words).dictionary_encode()
+    lengths = np.fromiter(map(len, _encode_distinct(coded.dictionary.to_pylist(), path)), np.int64, len(coded.dictionary)) // 4
+    total = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy(zero_copy_only=False)])])
+    return pa.array(np.diff(total[_list_offsets(words)]), pa.int64())
+
+
+def _with_words(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     text = text_or_empty(text_col)
     whole = text.rlike(f"[^{LATIN}]") & text.rlike(f"[^{STABLE}]")
     for special in _specials(path):
         whole = whole | text.contains(special)
-    words = F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
-    ids = T.ArrayType(T.IntegerType())
-    return _mapped(docs.withColumn("__words", words), "__words", ids_col, ids, _encode, path)
+    return docs.withColumn("__words", F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))))
+
+
+def count(docs: DataFrame, text_col: str = "text", out_col: str = "n_ids", path: str | None = None) -> DataFrame:
+    """docs with the number of ids of each text, but without the text itself."""
+    path = path or default_path()
+    return _mapped(_with_words(docs, text_col, path).drop(text_col), "__words", out_col, T.LongType(), _count, path)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 
-from granary.llm.packing import pack, place
+from granary.llm import bpe
+from granary.llm.packing import by_tokens, pack, place
 
 
 def naive(items, capacity):
@@ -71,3 +73,30 @@ def test_odd(odd, none):
     same = [r.bin_id for r in rows if r.doc_id in (7, 8)]
     assert len(set(same)) == 3  # copies never share a bin
     assert place(none).count() == 0
+
+
+def test_sizes_are_tokens(spark, sf_dir, odd):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd):
+        ids = {}
+        for r in bpe.encode(docs.select("doc_id", "text")).collect():
+            ids[r.doc_id] = ids.get(r.doc_id, 0) + len(r.ids) + 1
+        placed = {}
+        rows = by_tokens(docs, 300).collect()
+        for r in rows:
+            placed[r.doc_id] = placed.get(r.doc_id, 0) + r.n_tokens
+        assert placed == ids
+        per_bin = {}
+        for r in rows:
+            per_bin.setdefault(r.bin_id, []).append((r.offset, r.n_tokens))
+        assert all(sum(n for _, n in sorted(b)) <= 300 for b in per_bin.values())
+    assert by_tokens(odd.limit(0)).count() == 0
+
+
+def test_repeated_rows_take_linear_time(spark):
+    """Rows that agree in all that deals them fall to one shard, which is packed piece by piece."""
+    n = 30_000
+    df = spark.createDataFrame([(None, "the same text", "s")], "doc_id long, text string, source string").crossJoin(spark.range(n)).drop("id")
+    began = time.time()
+    rows = place(df).collect()
+    assert time.time() - began < 40
+    assert len(rows) == n and len({r.bin_id for r in rows}) == n  # copies never share a bin
