@@ -1,7 +1,7 @@
 r"""Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted, folded into blocks of adjacent turns of
-one role, and written as one string::
+A conversation's turns are collected as structs and sorted; each is compared with its neighbours, so
+that adjacent turns of one role make a block, and all are written as one string::
 
     <turn user
     text of a turn<next/>text of a second turn in a row</turn>
@@ -15,7 +15,8 @@ string and every backslash in it begins exactly one escape.
 Defined results: null roles and texts count as empty; turns sort by turn (null first), then role,
 then text, so ties have one order; repeated rows are turns of their own; rows with a null conv_id
 form one conversation; extra columns are ignored; no rows give no conversations. One conversation is
-one output string, so its turns meet in one task; nothing else is gathered.
+one output string, so its turns meet in one task; nothing else is gathered, and the work is in
+proportion to its turns.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.common import let, starts
+
 OPEN, CLOSE, NEXT = "<turn ", "</turn>\n", "<next/>"
 #: Each control string and the escape that stands for it in a text; the backslash comes first.
 ESCAPES = (("\\", "\\0"), ("</turn>", "\\1"), ("<turn ", "\\2"), ("<next/>", "\\3"))
@@ -60,51 +63,29 @@ def format_conversations(
     )
     rows = turns.groupBy(F.col(conv_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    # Adjacent turns of one role share a block: fold the sorted turns into an array of blocks.
-    block_type = "array<struct<role:string,texts:array<string>>>"
-
-    def fold(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == t["role"])
-        return F.when(
-            same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
-        ).otherwise(F.concat(done, F.array(fresh)))
-
-    rows = rows.select(conv_col, F.aggregate("turns", F.array().cast(block_type), fold).alias("blocks"))
-    # Every block becomes its pieces: the mark before each text, the text, and the mark after it.
-    piece_type = "array<struct<before:string,text:string,after:string,loss:boolean>>"
-
-    def pieces(b: Column) -> Column:
-        head = F.concat(F.lit(OPEN), escape(b["role"], ROLE_ESCAPES), F.lit("\n"))
-        last = F.size(b["texts"]) - 1
-        return F.transform(
-            b["texts"],
-            lambda x, i: F.struct(
-                F.when(i == 0, head).otherwise(blank).alias("before"),
-                escape(x).alias("text"),
-                F.when(i == last, F.lit(CLOSE)).otherwise(F.lit(NEXT)).alias("after"),
-                (b["role"] == loss_role).alias("loss"),
-            ),
-        )
-
-    rows = rows.select(conv_col, F.flatten(F.transform("blocks", pieces)).cast(piece_type).alias("pieces"))
-    state = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-
-    def place(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["before"])
-        span = F.struct(start.alias("start"), F.length(p["text"]).cast("bigint").alias("length"))
-        return F.struct(
-            (start + F.length(p["text"]) + F.length(p["after"])).cast("bigint").alias("at"),
-            F.when(p["loss"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-        )
-
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    # Adjacent turns of one role share a block: a turn opens one if its role differs from that of the turn
+    # before, and closes it if it differs from that of the turn after. Every turn is a piece: the mark
+    # before its text, the text, and the mark after it.
+    def piece(turns_: Column, t: Column, i: Column) -> Column:
+        head = F.concat(F.lit(OPEN), escape(t["role"], ROLE_ESCAPES), F.lit("\n"))
+        before = F.when(F.get(turns_, i - 1)["role"].eqNullSafe(t["role"]), blank).otherwise(head)
+        after = F.when(F.get(turns_, i + 1)["role"].eqNullSafe(t["role"]), F.lit(NEXT)).otherwise(F.lit(CLOSE))
+        return F.struct(before.alias("before"), escape(t["text"]).alias("text"), after.alias("after"), (t["role"] == loss_role).alias("loss"))
+
+    pieces = let(F.col("turns"), lambda ts: F.transform(ts, lambda t, i: piece(ts, t, i)))
+    rows = rows.select(conv_col, pieces.alias("pieces"))
+    length = lambda p: (F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("bigint")
+    rows = rows.select(conv_col, "pieces", starts(F.transform("pieces", length)).alias("starts"))
+
+    def span(p: Column, at: Column) -> Column:
+        start = at + F.length(p["before"])
+        return F.when(p["loss"], F.struct(start.alias("start"), F.length(p["text"]).cast("bigint").alias("length")))
+
+    spans = F.filter(F.zip_with("pieces", "starts", span), lambda s: s.isNotNull())
     return rows.select(
         conv_col,
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        F.aggregate("pieces", none.cast(state), place, lambda s: s["spans"]).alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 
@@ -123,9 +104,14 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    cut = F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int"))))
-    return F.array_join(cut, "")
+    """All text under the loss mask, unescaped, in order. Code points of one width are cut at once, where
+    those of UTF-8 would be counted from the string's start for each span."""
+
+    def cut(wide: Column) -> Column:
+        one = lambda s: F.decode(F.substring(wide, (s["start"] * 4 + 1).cast("int"), (s["length"] * 4).cast("int")), "UTF-32")
+        return F.array_join(F.transform(spans, lambda s: unescape(one(s))), "")
+
+    return let(F.encode(formatted, "UTF-32"), cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +125,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = format_conversations(turns.unionByName(more))
     read = F.col("read")
-    return done.withColumn("read", parse(F.col("formatted"))).select(
+    done = done.withColumn("read", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    return done.select(
         "conv_id",
         F.size(read).cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform(read, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss_text(F.col("formatted"), F.col("loss_spans"))).cast("bigint").alias("loss_chars"),
-        F.sha2(loss_text(F.col("formatted"), F.col("loss_spans")), 256).alias("loss_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -45,11 +45,13 @@ def release(spark: SparkSession) -> None:
 def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: it cuts the lineage, is
     computed once, and outlives any executor. The files stay until ``release``. narrow: for tables of
-    few bytes a document; they are computed at full width, and their rows then dealt to files of the
-    size that adaptive execution aims at, as many small ones are slow to write and to read."""
+    few bytes a document; they are computed at full width, and their rows then dealt to as many files
+    as the cluster has cores, or a sixteenth of the shuffle's partitions if that is more, as many small
+    files are slow to write and to read."""
     spark = df.sparkSession
     if narrow:
-        df = df.hint("rebalance")
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(max(1, spark.sparkContext.defaultParallelism, partitions // 16))
     top = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     _WRITTEN.append(top)
     path = f"{top}/{name}"
@@ -66,6 +68,33 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside a lambda, a column expression is computed anew for
+    each element, but a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts(sizes: Column, run: int = 64) -> Column:
+    """For an array of sizes, where each begins: the sums of all before it. Sums of whole runs come first,
+    so that the work stays near linear."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    runs = lambda xs: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / run).cast("int") - 1, F.lit(0))), lambda r: total(F.slice(xs, r * run + 1, F.lit(run)))
+    )
+
+    def below(xs: Column, bases: Column) -> Column:
+        def at(i: Column) -> Column:
+            r = F.floor(i / run).cast("int")
+            return F.get(bases, r) + total(F.slice(xs, r * run + 1, i - r * run))
+
+        return F.transform(xs, lambda _, i: at(i))
+
+    def of_runs(sums: Column) -> Column:
+        return F.transform(sums, lambda _, r: total(F.slice(sums, F.lit(1), r)))
+
+    return let(sizes, lambda xs: let(runs(xs), lambda sums: let(of_runs(sums), lambda bases: below(xs, bases))))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Let Arrow batches have at most so many rows, and about so many bytes: whole texts may be long,
     and a batch is held in memory on both sides. It lowers the session's settings and never raises

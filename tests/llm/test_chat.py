@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,19 @@ def test_ties_nulls_and_empty(spark):
     assert [t.text for t in got[1]["read"]] == ["first", "a", "a", "b"]
     assert [tuple(t) for t in got[None]["read"]] == [("", ""), ("user", "x")]
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_work_is_in_proportion_to_turns(spark):
+    """One conversation of very many turns, formatted and read back."""
+    took = []
+    for n in (500, 8_000, 32_000):
+        rows = spark.range(n).select(
+            F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+            F.concat(F.lit("é😀 <turn "), F.col("id").cast("string"), F.lit(" x" * 40)).alias("text"),
+        )
+        began = time.time()
+        done = chat.format_conversations(rows)
+        r = done.select(F.size(chat.parse(F.col("formatted"))).alias("n"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+        took.append(time.time() - began)
+        assert r.n == n and r.loss == "".join(f"é😀 <turn {i}" + " x" * 40 for i in range(n) if i % 3)
+    assert took[2] < 8 * max(took[1], 1), took
