@@ -52,7 +52,8 @@ BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: at the threshold with probability 5e-8 (80 registers, 0.85) or 3e-8 (112 registers, 0.80).
 MARGIN = 6.0
 BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
-#: Members of a group whose shingles are counted for its order: so many, with so many shingles together.
+#: Members of a group whose shingles are counted for its order: about so many, with so many shingles
+#: together. They only make a good order likely; any order gives the same links.
 ORDER_ROWS, ORDER_SHINGLES = 64, 1_000_000
 #: Members that are sorted in one task by their group's order.
 SORT_ROWS = 1024
@@ -372,7 +373,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, most_rows: int = BLOCK_ROWS) -> DataFrame:
-    """rows (id, grp, n, ...) with the number of blocks of their group and their own block."""
+    """rows (id, grp, n, ...) with the number of blocks of their group and their own block; others of these
+    names are replaced."""
+    rows = rows.drop("blocks", "block")
     totals = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__n"))
     parts = F.greatest(F.ceil(F.col("__rows") / most_rows), F.ceil(F.col("__n") / BLOCK_SHINGLES)).cast("int")
     totals = materialise(totals.select("grp", parts.alias("blocks")), "blocks", narrow=True)
@@ -386,12 +389,10 @@ def prefix_sizes(percent: int, n: int) -> tuple[int, int]:
 
 
 def _orders(members: DataFrame) -> DataFrame:
-    """members: grp, id, hashes. (grp, hashes, times): the shingles that more than one of a few members of a
-    group have, sorted, and how many of them have each."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id"))
-    few = members.withColumn("__rank", rank).where(F.col("__rank") <= ORDER_ROWS)
+    """members: grp, rows (of the group), id, hashes. (grp, hashes, times): the shingles that more than one of
+    a few members of a group have, sorted, and how many of them have each."""
+    every = F.greatest(F.lit(1), F.floor(F.col("rows") / ORDER_ROWS))
+    few = members.where(F.pmod(F.xxhash64("id", F.lit(1)), every) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
@@ -399,7 +400,7 @@ def _orders(members: DataFrame) -> DataFrame:
         def counted() -> Iterator[pa.RecordBatch]:
             if held:
                 found, times = np.unique(np.concatenate(held), return_counts=True)
-                found, times = found[times > 1], times[times > 1].astype(np.uint8)
+                found, times = found[times > 1], np.minimum(times[times > 1], 255).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({"grp": pa.array([at], pa.int64()), "hashes": pa.array([found.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary())})
 
         for batch in batches:
@@ -412,30 +413,29 @@ def _orders(members: DataFrame) -> DataFrame:
                     held.append(np.frombuffer(hashes, np.uint64))
         yield from counted()
 
-    return few.repartition("grp").sortWithinPartitions("grp", "__rank").select("grp", "hashes").mapInArrow(run, "grp bigint, hashes binary, times binary")
+    return few.repartition("grp").sortWithinPartitions("grp", "id").select("grp", "hashes").mapInArrow(run, "grp bigint, hashes binary, times binary")
 
 
-def _prefixes(members: DataFrame, orders: DataFrame, config: Config) -> DataFrame:
-    """members: grp, id, label, n, hashes. (key, grp, id, label, n, first): the shingles by which each may meet
-    another member of its group, as keys; first: whether it also meets larger sets by this one."""
+def _prefixes(members: DataFrame, orders: DataFrame, groups: DataFrame, config: Config) -> DataFrame:
+    """members: grp, rows, id, label, main, n, hashes. (key, grp, id, label, main, n, first): the shingles by which
+    each may meet another member of its group, as keys; first: whether it also meets larger sets by this one."""
     percent = config.percent
-    sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SORT_ROWS).cast("int").alias("chunks"))
-    sizes = materialise(sizes, "chunks", narrow=True)
+    chunks_ = F.ceil(F.col("rows") / SORT_ROWS).cast("int")
     none = F.lit(None)
-    own = members.join(sizes, "grp").select(
-        "grp", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "id", "label", "n", "hashes", none.cast("binary").alias("times")
+    own = members.select(
+        "grp", F.pmod(F.xxhash64("id"), chunks_).cast("int").alias("chunk"), F.lit(1).alias("kind"), "id", "label", "main", "n", "hashes", none.cast("binary").alias("times")
     )
-    shared = orders.join(sizes, "grp").select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"),
-        none.cast("bigint").alias("id"), none.cast("bigint").alias("label"), none.cast("bigint").alias("n"), "hashes", "times",
+    shared = orders.join(groups, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0), chunks_ - 1)).alias("chunk"), F.lit(0).alias("kind"),
+        *[none.cast(k).alias(c) for c, k in (("id", "bigint"), ("label", "bigint"), ("main", "boolean"), ("n", "bigint"))], "hashes", "times",
     )
     empty = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, common, times = None, *empty
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, int, int, int]] = []
-            for grp, chunk, kind, id_, label, n, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple[np.ndarray, int, int, int, int, bool, int]] = []
+            for grp, chunk, kind, id_, label, main, n, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, chunk) != at:
                     at, (common, times) = (grp, chunk), empty
                 found = np.frombuffer(hashes, np.uint64)
@@ -449,24 +449,24 @@ def _prefixes(members: DataFrame, orders: DataFrame, config: Config) -> DataFram
                 mixed = _mix(found + _MIX2)
                 index, probe = prefix_sizes(percent, len(found))
                 keys = mixed[np.lexsort((mixed, own_times))[:probe]]
-                out.append((_mix(keys ^ np.uint64(grp & 0xFFFFFFFFFFFFFFFF)).view(np.int64), index, grp, id_, label, n))
+                out.append((_mix(keys ^ np.uint64(grp & 0xFFFFFFFFFFFFFFFF)).view(np.int64), index, grp, id_, label, main, n))
             if out:
                 many = [len(keys) for keys, *_ in out]
-                repeated = {c: pa.array(np.repeat([r[k] for r in out], many), pa.int64()) for k, c in ((2, "grp"), (3, "id"), (4, "label"), (5, "n"))}
+                repeated = {c: pa.array(np.repeat([r[k] for r in out], many)) for k, c in ((2, "grp"), (3, "id"), (4, "label"), (5, "main"), (6, "n"))}
                 first = np.concatenate([np.arange(len(keys)) < index for keys, index, *_ in out])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([r[0] for r in out])), **repeated, "first": pa.array(first)})
 
     small_batches(members.sparkSession)
     dealt = own.unionByName(shared).repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "kind")
-    return dealt.mapInArrow(run, "key bigint, grp bigint, id bigint, label bigint, n bigint, first boolean")
+    return dealt.mapInArrow(run, "key bigint, grp bigint, id bigint, label bigint, main boolean, n bigint, first boolean")
 
 
-def _meeting(members: DataFrame, config: Config) -> DataFrame:
-    """members: grp, id, label, n, hashes, main. (grp, a, b) of the members of different parts that meet by a
-    prefix, a's set not being the larger. main: whether a member is in its group's largest part."""
-    orders = materialise(_orders(members.select("grp", "id", "hashes")), "orders")
-    keys = _prefixes(members, orders, config)
-    keys = materialise(keys.join(members.select(F.col("id").alias("__id"), "main").distinct(), F.col("id") == F.col("__id")).drop("__id"), "prefixes")
+def _meeting(members: DataFrame, groups: DataFrame, config: Config) -> DataFrame:
+    """members: grp, rows, id, label, main, n, hashes; groups: grp, rows. (grp, a, b) of the members of different
+    parts that meet by a prefix, a's set not being the larger. main: whether a member is in its group's
+    largest part."""
+    orders = materialise(_orders(members), "orders")
+    keys = materialise(_prefixes(members, orders, groups, config), "prefixes")
     several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("first").alias("any")).where("low < high and any")
     keys = materialise(keys.join(several.select("key"), "key", "left_semi"), "meetings")
     small, large = keys.where("first").alias("x"), keys.alias("y")
@@ -512,13 +512,13 @@ def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: in
             break
     # Members of different parts that may still be linked meet by prefixes.
     parts = large.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    main = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("rows"), F.count(F.lit(1)).alias("parts"))
     main = materialise(main.where("parts > 1").drop("parts"), "main", narrow=True)
     open_ = large.join(main, "grp").withColumn("main", F.col("label") == F.col("main"))
     open_ = materialise(_blocks(open_, most_rows), "open", narrow=True)
     if open_.isEmpty():
         return large.select("id", "label").unionByName(rest)
-    meeting = _meeting(open_.join(sets.where("blocks > 1").select("id", "hashes"), "id"), config)
+    meeting = _meeting(open_.join(sets.where("blocks > 1").select("id", "hashes"), "id"), main.select("grp", "rows"), config)
     meeting = materialise(meeting, "meeting", narrow=True)
     place = lambda side, name: open_.select(F.col("id").alias(side), F.col("block").alias(name))
     asked = meeting.join(place("a", "q"), "a").join(place("b", "block"), "b")
