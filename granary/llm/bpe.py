@@ -164,29 +164,47 @@ def _mapped(df: DataFrame, read: str, write: str, kind: T.DataType, f: Callable[
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """docs with a column of ids (array<int>)."""
     path = path or default_path()
-    return _mapped(_with_words(docs, text_col, path), "__words", ids_col, T.ArrayType(T.IntegerType()), _encode, path)
-
-
-def _count(words: pa.Array, path: str) -> pa.Array:
-    """A list of words per document becomes its number of ids."""
-    coded = pc.list_flatten(words).dictionary_encode()
-    lengths = np.fromiter(map(len, _encode_distinct(coded.dictionary.to_pylist(), path)), np.int64, len(coded.dictionary)) // 4
-    total = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy(zero_copy_only=False)])])
-    return pa.array(np.diff(total[_list_offsets(words)]), pa.int64())
-
-
-def _with_words(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     text = text_or_empty(text_col)
     whole = text.rlike(f"[^{LATIN}]") & text.rlike(f"[^{STABLE}]")
     for special in _specials(path):
         whole = whole | text.contains(special)
-    return docs.withColumn("__words", F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))))
+    words = F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
+    return _mapped(docs.withColumn("__words", words), "__words", ids_col, T.ArrayType(T.IntegerType()), _encode, path)
+
+
+@lru_cache(maxsize=2)
+def _ranked(path: str):
+    """The same vocabulary for the library that reads it from a file of ranks, which is faster at whole texts."""
+    import base64
 
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-def count(docs: DataFrame, text_col: str = "text", out_col: str = "n_ids", path: str | None = None) -> DataFrame:
-    """docs with the number of ids of each text, but without the text itself."""
+
+def count(docs: DataFrame, text_col: str = "text", out_col: str = "n_ids", path: str | None = None, ranks: str | None = None) -> DataFrame:
+    """docs with the number of ids of each text, but without the text itself. path, ranks: the vocabulary in
+    both forms. Texts with a special token are counted by the first, as ``encode`` does."""
     path = path or default_path()
-    return _mapped(_with_words(docs, text_col, path).drop(text_col), "__words", out_col, T.LongType(), _count, path)
+    if ranks is None:
+        import public_tokenizers
+
+        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def counted(texts: pa.Array, path: str) -> pa.Array:
+        fast, specials = _ranked(ranks), _specials(path)
+
+        def one(text: str) -> int:
+            if any(s in text for s in specials):
+                return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)
+            return len(fast.encode_ordinary(text))
+
+        return pa.array([one(t) for t in texts.to_pylist()], pa.int64())
+
+    return _mapped(docs.withColumn("__text", text_or_empty(text_col)).drop(text_col), "__text", out_col, T.LongType(), counted, path)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -34,11 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables that ``materialise`` has written in this process. Only for when no DataFrame
-    that reads them will run again."""
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def written() -> int:
+    """How many tables ``materialise`` has written in this process and not removed."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Remove the tables that ``materialise`` has written in this process, from one number of ``written`` on,
+    all or all but the last. Only for when no DataFrame that reads them will run again."""
+    to = len(_WRITTEN) - bool(but_last)
+    gone = _WRITTEN[since:to]
+    del _WRITTEN[since:to]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -90,6 +90,9 @@ def test_sizes_are_tokens(spark, sf_dir, odd):
             per_bin.setdefault(r.bin_id, []).append((r.offset, r.n_tokens))
         assert all(sum(n for _, n in sorted(b)) <= 300 for b in per_bin.values())
     assert by_tokens(odd.limit(0)).count() == 0
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3, " " * 300_000 + "x", "1" * 300_000, "é" * 100_000, "ab " * 100_000, "\n" * 100_000, "\u200b\u0300Ⅷ²"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_ids for r in bpe.count(df).collect()} == {r.doc_id: len(r.ids) for r in bpe.encode(df).collect()}
 
 
 def test_repeated_rows_take_linear_time(spark):
