@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from granary.llm import exact_dedup, pii
+from granary.llm import common, exact_dedup, pii
 from granary.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_near_dedup import brute as near_brute
 from tests.llm.test_pii import brute as pii_brute
@@ -43,7 +43,21 @@ def test_stages_by_brute_force(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    before = common.written()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert common.written() == before + 1  # only the result is left
+
+
+def test_a_failed_run_leaves_nothing(spark, sf_dir, monkeypatch):
+    before = common.written()
+
+    def fail(spark, docs, sf_dir):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("failing", fail)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf_dir)
+    assert common.written() == before
 
 
 def test_odd(spark, odd, none):
