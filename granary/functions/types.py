@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from granary.errors import AnalysisError
 
-#: The accepted spellings of each type.
+#: The accepted spellings of each type, and the size of a string column that states none.
 SPELLINGS = {
     "INTEGER": "INTEGER", "INT": "INTEGER",
     "BIGINT": "BIGINT",
@@ -52,10 +52,20 @@ def schema_of(fields: list[Field]) -> T.StructType:
     return T.StructType([f.struct_field() for f in fields])
 
 
+#: What is stripped from both ends of a value: the white space of Unicode.
+_SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
+
+
 def cut_bytes(text: Column, size: int) -> Column:
-    """text cut to size bytes, without a broken last character."""
-    cut = F.rtrim(F.call_function("make_valid_utf8", F.substring(text.cast("binary"), 1, size).cast("string")), F.lit("�"))
-    return F.when(F.octet_length(text) > size, cut).otherwise(text)
+    """text cut to size bytes, without a broken last character: of the cuts that are up to three bytes
+    shorter, the first one that is whole."""
+    raw = text.cast("binary")
+    cuts = [F.call_function("try_validate_utf8", F.substring(raw, 1, max(0, size - k)).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(text) > size, F.coalesce(*cuts, F.call_function("make_valid_utf8", F.substring(raw, 1, size).cast("string")))).otherwise(text)
 
 
 def _cut(text: str, size: int) -> str:
@@ -84,7 +94,7 @@ def converted(value: object, field: Field) -> object:
 def coerced(raw: Column, field: Field) -> Column:
     """A CSV value as a field's value: what is no number counts as zero; strings are stripped and cut
     to the size in characters, then in bytes."""
-    text = F.trim(F.coalesce(raw, F.lit("")))
+    text = stripped(F.coalesce(raw, F.lit("")))
     number = F.when(text.rlike(_NUMBER), text)
     real = number.try_cast("double")
     if field.type in RANGES:
@@ -101,20 +111,27 @@ def coerced(raw: Column, field: Field) -> Column:
     return cut_bytes(F.substring(text, 1, size), size)
 
 
-def inferred(name: str, samples: list[str], longest: int) -> Field:
-    """The narrowest type that all samples fit: INTEGER, BIGINT, FLOAT, STRING."""
-    kind = "INTEGER"
-    for value in samples:
-        try:
-            number = int(value)
-        except ValueError:
-            try:
-                float(value)
-            except ValueError:
-                return Field(name, "STRING", min(max(longest + 4, 20), 120))
-            kind = "FLOAT"
-            continue
-        low, high = RANGES["INTEGER"]
-        if kind == "INTEGER" and not low <= number <= high:
-            kind = "BIGINT"
-    return Field(name, kind)
+#: What a string column gets beyond its longest sample, the least and the largest size.
+ROOM, LEAST_SIZE, LARGEST_SIZE = 4, 20, 120
+#: What counts as an integer and as another number in a sample.
+_INTEGER = r"\A[+-]?[0-9]+(?:_[0-9]+)*\z"
+_OTHER_NUMBER = r"(?i)\A[+-]?(?:(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+(?:_[0-9]+)*)?|inf|infinity|nan)\z"
+
+
+def field_of_samples(value: Column, typed: Column) -> Column:
+    """An aggregate, the struct (type, size) of the narrowest type that all samples fit. typed: whether a
+    sample decides the type; all decide the length. Every sample is of the class 0 to 3 of integers,
+    longer integers, other numbers and texts; the largest class is the type. Blank samples decide nothing."""
+    text = stripped(value)
+    low, high = RANGES["INTEGER"]
+    exact = F.regexp_replace(text, "_", "").try_cast("decimal(38,0)")
+    kind = (
+        F.when(~typed | (text == ""), F.lit(None).cast("int"))
+        .when(text.rlike(_INTEGER), F.when(exact.between(low, high), 0).otherwise(1))
+        .when(text.rlike(_OTHER_NUMBER), 2)
+        .otherwise(3)
+    )
+    largest = F.coalesce(F.max(kind), F.lit(0))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("INTEGER", "BIGINT", "FLOAT", "STRING")]), largest + 1)
+    size = F.least(F.greatest(F.max(F.length(value)) + ROOM, F.lit(LEAST_SIZE)), F.lit(LARGEST_SIZE))
+    return F.struct(name.alias("type"), F.when(largest == 3, size).alias("size"))

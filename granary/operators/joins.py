@@ -39,11 +39,12 @@ def equi_join(left: DataFrame, right: DataFrame, on: Column, strategy: str = "au
 
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Inner join on any condition. Without an equality every pair must be looked at, so one side must
-    be small enough to broadcast."""
+    """Inner join on any condition. Without an equality every pair must be looked at: a side under the limit
+    is sent to the tasks of the other; of two larger ones, every partition meets every partition, each
+    pair of them in a task of its own that reads one side as a stream."""
     sizes = estimated_bytes(left), estimated_bytes(right)
     if min(sizes) > limit:
-        raise AnalysisError(f"a theta join needs one side of {limit} bytes at most; these have {sizes[0]} and {sizes[1]}")
+        return left.hint("shuffle_replicate_nl").join(right, condition, "inner")
     if sizes[0] < sizes[1]:
         return F.broadcast(left).join(right, condition, "inner")
     return left.join(F.broadcast(right), condition, "inner")

@@ -7,12 +7,12 @@ skipped by their minima and maxima. K-nearest is a top-k by distance and key, wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.errors import AnalysisError
 from granary.operators.scope import Scope, Source, reference
-from granary.plans.nodes import Name, Near
+from granary.plans.nodes import Near
 
 GRID_BITS = 10
 
@@ -114,5 +114,18 @@ def payload(source: Source, near: Near, key: str, label: str) -> tuple[DataFrame
     return far.where(within(F.col("x"), F.col("y"), near.x, near.y, near.radius or 0.0)), points
 
 
-def columns_of(near: Near) -> tuple[Name, ...]:
-    return near.columns
+def needed(groups: DataFrame, near: Near, x: str, y: str) -> DataFrame:
+    """groups: a table's row groups with the least and largest values of its axes (``Catalog.row_groups``). Adds
+    the rectangle's area, the distance of the search's centre from it, and whether the search must read it:
+    for a radius, if the circle reaches the rectangle; for the nearest k, if no k rows are nearer for sure."""
+    box = [F.col(f"low_{x}"), F.col(f"low_{y}"), F.col(f"high_{x}"), F.col(f"high_{y}")]
+    far = mindist(near.x, near.y, *box)
+    out = groups.withColumn("area", area(*box)).withColumn("mindist", far)
+    if near.k is None:
+        return out.withColumn("needed", F.coalesce(far <= F.lit(near.radius or 0.0), F.lit(False)))
+    corner = F.greatest(*[distance(cx, cy, near.x, near.y) for cx in (box[0], box[2]) for cy in (box[1], box[3])])
+    # Rows within each rectangle's farthest corner: the first of these sums to reach k is a sure bound.
+    order = Window.orderBy("__corner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = out.withColumn("__corner", corner).withColumn("__sum", F.sum("rows").over(order))
+    bound = sums.where(F.col("__sum") >= near.k).agg(F.min("__corner").alias("__bound"))
+    return out.join(F.broadcast(bound)).withColumn("needed", F.coalesce(far <= F.coalesce("__bound", F.lit(float("inf"))), F.lit(False))).drop("__bound")

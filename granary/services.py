@@ -48,28 +48,6 @@ class Journal:
         self.note(txn, "COMMIT", operation, table, f"{(time.perf_counter() - began) * 1000:.1f} ms")
 
 
-class TableLocks:
-    """One writer at a time for each table; readers need no lock, as versions never change."""
-
-    def __init__(self, journal: Journal):
-        self.journal = journal
-        self._locks: dict[str, threading.RLock] = {}
-        self._guard = threading.Lock()
-
-    @contextmanager
-    def writing(self, table: str, txn: str = "-") -> Iterator[None]:
-        with self._guard:
-            lock = self._locks.setdefault(table, threading.RLock())
-        if not lock.acquire(blocking=False):
-            self.journal.note(txn, "WAITING", "write lock", table)
-            lock.acquire()
-            self.journal.note(txn, "RESUMED", "write lock", table)
-        try:
-            yield
-        finally:
-            lock.release()
-
-
 class DeadlockError(RuntimeError):
     pass
 
@@ -97,16 +75,22 @@ class WaitGraph:
 
 
 class SharedLock:
-    """Many readers or one writer, re-entrant, waiting writers first, with a time limit. Tables do not
-    need it; it is here for callers that share something mutable between statements."""
+    """Many readers or one writer, re-entrant, waiting writers first. timeout: seconds after which a wait is
+    given up, or None."""
 
-    def __init__(self, graph: WaitGraph | None = None, timeout: float = 5.0):
+    def __init__(self, graph: WaitGraph | None = None, timeout: float | None = 5.0):
         self.graph, self.timeout = graph or WaitGraph(), timeout
         self._turn = threading.Condition()
         self._readers: Counter[int] = Counter()
         self._writer: int | None = None
         self._depth = self._queued = 0
 
+    def free(self) -> bool:
+        """Whether this thread could write at once."""
+        me = threading.get_ident()
+        with self._turn:
+            return self._writer in (None, me) and not set(self._readers) - {me}
+
     @contextmanager
     def reading(self) -> Iterator[None]:
         me = threading.get_ident()
@@ -144,25 +128,56 @@ class SharedLock:
                 self._turn.notify_all()
 
     def _wait(self, me: int, free) -> None:
-        end = time.monotonic() + self.timeout
+        end = None if self.timeout is None else time.monotonic() + self.timeout
         try:
             while not free():
                 holders = set(self._readers) | ({self._writer} if self._writer is not None else set())
                 self.graph.wait(me, holders)
-                if not self._turn.wait(max(0.0, end - time.monotonic())) and time.monotonic() >= end:
+                left = None if end is None else max(0.0, end - time.monotonic())
+                if not self._turn.wait(left) and end is not None and time.monotonic() >= end:
                     raise DeadlockError(f"no lock within {self.timeout} s")
         finally:
             self.graph.done(me)
 
 
+class TableLocks:
+    """One writer at a time for each table; readers need no lock, as versions never change. Sessions of
+    one process that give the same scope, a workspace's path, share their locks. A wait that would never
+    end, as its holder waits for this thread in turn, is refused; others have no limit unless given one."""
+
+    _shared: dict[str, tuple[dict[str, SharedLock], WaitGraph]] = {}
+    _guard = threading.Lock()
+
+    def __init__(self, journal: Journal, scope: str | None = None, timeout: float | None = None):
+        self.journal, self.timeout = journal, timeout
+        with TableLocks._guard:
+            self._locks, self._graph = TableLocks._shared.setdefault(scope, ({}, WaitGraph())) if scope else ({}, WaitGraph())
+
+    @contextmanager
+    def writing(self, table: str, txn: str = "-") -> Iterator[None]:
+        with TableLocks._guard:
+            lock = self._locks.setdefault(table, SharedLock(self._graph, self.timeout))
+        waited = not lock.free()
+        if waited:
+            self.journal.note(txn, "WAITING", "write lock", table)
+        with lock.writing():
+            if waited:
+                self.journal.note(txn, "RESUMED", "write lock", table)
+            yield
+
+
 @dataclass
 class Telemetry:
-    """What a program of statements took: wall time, and what its queries read, by Spark's metrics."""
+    """What a program of statements took: wall time, what its queries read, by Spark's metrics, and what its
+    changes wrote."""
 
     elapsed_ms: float = 0.0
     files_read: int = 0
     bytes_read: int = 0
     rows_scanned: int = 0
+    files_written: int = 0
+    bytes_written: int = 0
+    rows_written: int = 0
     statements: int = 0
 
     def add(self, df: DataFrame) -> None:
@@ -178,7 +193,25 @@ class Telemetry:
 
 def scan_metrics(df: DataFrame) -> list[tuple[str, int]]:
     """(metric, value) of each file scan of a DataFrame that has run."""
-    out: list[tuple[str, int]] = []
+    return [(name, value) for kind, name, value in _metrics(df, {
+        "FileSourceScanExec": ("numFiles", "filesSize", "numOutputRows"), "BatchScanExec": ("numFiles", "filesSize", "numOutputRows"),
+    })]
+
+
+def sort_metrics(df: DataFrame) -> dict[str, int]:
+    """What the sorts of a DataFrame that has run took: rows, the runs they were dealt to (a run is one
+    partition, sorted and merged by one task), bytes and records that the shuffles before them wrote, bytes
+    that were spilled to disk, and peak memory."""
+    names = {"shuffleRecordsWritten": "rows", "numPartitions": "runs", "shuffleBytesWritten": "bytes_written", "spillSize": "bytes_spilled", "peakMemory": "peak_memory"}
+    out = dict.fromkeys(names.values(), 0)
+    for _, name, value in _metrics(df, {"ShuffleExchangeExec": ("shuffleRecordsWritten", "shuffleBytesWritten", "numPartitions"), "SortExec": ("spillSize", "peakMemory")}):
+        out[names[name]] = max(out[names[name]], value) if name in ("numPartitions", "peakMemory") else out[names[name]] + value
+    return out
+
+
+def _metrics(df: DataFrame, wanted: dict[str, tuple[str, ...]]) -> list[tuple[str, str, int]]:
+    """(kind of node, metric, value) of the nodes of these kinds of a DataFrame that has run."""
+    out: list[tuple[str, str, int]] = []
     plans = [df._jdf.queryExecution().executedPlan()]
     while plans:
         plan = plans.pop()
@@ -186,14 +219,12 @@ def scan_metrics(df: DataFrame) -> list[tuple[str, int]]:
         if kind == "AdaptiveSparkPlanExec":
             plans.append(plan.executedPlan())
             continue
-        if kind in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec"):
+        if kind in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec", "ResultQueryStageExec"):
             plans.append(plan.plan())
             continue
-        if kind in ("FileSourceScanExec", "BatchScanExec"):
+        if kind in wanted:
             found = plan.metrics()
-            for name in ("numFiles", "filesSize", "numOutputRows"):
-                if found.contains(name):
-                    out.append((name, int(found.apply(name).value())))
+            out += [(kind, name, int(found.apply(name).value())) for name in wanted[kind] if found.contains(name)]
         children = plan.children()
         plans += [children.apply(i) for i in range(children.size())]
     return out

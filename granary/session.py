@@ -22,6 +22,10 @@ from granary.sources import csv_source
 from granary.sources.catalog import Catalog, Table, Workspaces
 
 
+#: Rows of a result that come to the driver unless the caller says otherwise.
+FETCH = 100_000
+
+
 class Session:
     """workspace: the folder of a workspace, or None for registered DataFrames only."""
 
@@ -29,7 +33,7 @@ class Session:
         self.spark = spark
         self.catalog = Catalog(spark, workspace) if workspace else None
         self.journal = Journal(journal)
-        self.locks = TableLocks(self.journal)
+        self.locks = TableLocks(self.journal, workspace and workspace.rstrip("/"))
         self._frames: dict[str, tuple[DataFrame, tuple[str, str] | None]] = {}
         self._loads: dict[str, Callable[[], DataFrame]] = {}
         self._pending: dict[str, list[tuple[object, ...]]] = {}
@@ -57,8 +61,14 @@ class Session:
     # Tables.
 
     def table(self, name: str, bucket_key: object = None) -> DataFrame:
+        self._refreshed()
         return self._source(name, None, bucket_key).df
 
+    def _refreshed(self) -> None:
+        """See what other sessions have changed."""
+        if self.catalog:
+            self.catalog.refresh()
+
     def _source(self, name: str, alias: str | None, bucket_key: object = None) -> Source:
         if name in self._frames:
             df, pair = self._frames[name]
@@ -77,10 +87,10 @@ class Session:
 
     def lookup(self, table: str, key: object, column: str | None = None) -> DataFrame:
         """The first row whose key is this; by default the key of the table's layout."""
-        source = self._source(table, None, None)
+        self._refreshed()
+        known = self.catalog.tables.get(table) if self.catalog and table not in self._frames else None
+        source = self._source(table, None, key if known and column in (None, known.key) else None)
         column = column or source.key or source.columns[0]
-        if source.key == column:
-            source = self._source(table, None, key)
         if column not in source.columns:
             raise AnalysisError(f"unknown column {column!r}")
         scope = Scope.of(source)
@@ -89,6 +99,7 @@ class Session:
 
     def range_search(self, table: str, low: object, high: object, column: str | None = None) -> DataFrame:
         """The rows whose key is from low to high, both included, in its order."""
+        self._refreshed()
         source = self._source(table, None)
         column = column or source.key or source.columns[0]
         found = predicates.condition(Scope.of(source), n.Between(n.Name(column), low, high))
@@ -105,6 +116,7 @@ class Session:
 
     def _select(self, s: n.Select, strategy: str = "auto") -> DataFrame:
         self._flush()
+        self._refreshed()
         bucket_key = None
         if self.catalog and s.table in self.catalog.tables and s.join is None:
             bucket_key = predicates.equals(s.where, self.catalog.table(s.table).key)
@@ -113,11 +125,12 @@ class Session:
             sources.append(self._source(s.join.table, s.join.alias))
         return lower_select(s, tuple(sources), strategy)
 
-    def execute(self, sql: str, fetch: int | None = None) -> QueryResult:
+    def execute(self, sql: str, fetch: int | None = FETCH) -> QueryResult:
         """Run a program and return what its last SELECT found, or what its statements say. All are
         parsed before any runs; one that fails leaves no trace, those before it stand. fetch: bring at
-        most so many rows of a result to the driver; the result then says whether there are more, and
-        its df, like that of any SELECT, can go on to a sink without passing through the driver."""
+        most so many rows of a result to the driver, or all with None; the result says whether there are
+        more, and its df, like that of any SELECT, has all of them and can go on to a sink without passing
+        through the driver."""
         if not sql.strip():
             return QueryResult("message", message="Empty query")
         began, telemetry = time.perf_counter(), Telemetry()
@@ -132,6 +145,7 @@ class Session:
     def _run(self, sql: str, telemetry: Telemetry, fetch: int | None) -> QueryResult:
         messages: list[tuple[str, str, int]] = []
         found: QueryResult | None = None
+        written = dict(self.catalog.written) if self.catalog else {}
         try:
             for statement in parse(sql):
                 telemetry.statements += 1
@@ -143,7 +157,7 @@ class Session:
                     more = fetch is not None and len(rows) > fetch
                     found = QueryResult("table", df.columns, rows[:fetch], df=df, more=more)
                     if isinstance(statement.where, n.Near) and statement.join is None:
-                        found = self._spatial_result(statement, found)
+                        found = self._spatial_result(statement, found, fetch)
                 elif isinstance(statement, n.Insert):
                     self._insert(statement)
                     messages.append(("insert", statement.table, 1))
@@ -154,11 +168,15 @@ class Session:
                     messages.append(("create", self._create(statement), 0))
         finally:
             self._flush()
+            for k, before in written.items():
+                setattr(telemetry, f"{k}_written", self.catalog.written[k] - before)
         return found or QueryResult("message", message=summary(messages))
 
-    def _spatial_result(self, s: n.Select, found: QueryResult) -> QueryResult:
+    def _spatial_result(self, s: n.Select, found: QueryResult, fetch: int | None) -> QueryResult:
         near: n.Near = s.where  # type: ignore[assignment]
         hits, points = self.spatial_search(s.table, near)
+        if fetch is not None:
+            hits = hits.limit(fetch)
         form = {"cx": near.x, "cy": near.y} | ({"k": near.k} if near.k is not None else {"radius": near.radius})
         payload = form | {"results": [r.asDict() for r in hits.collect()], "all_points": points}
         return QueryResult("spatial", found.columns, found.rows, payload, df=found.df, more=found.more)
@@ -193,6 +211,8 @@ class Session:
             if kind == "RTREE":
                 kind, pair = "SEQUENTIAL", (key, chosen.second or self._companion(fields, key))
         with self.journal.transaction("CREATE", c.table) as txn, self.locks.writing(c.table, txn):
+            if c.table in (catalog.refresh() or catalog.tables):
+                return f"Table '{c.table}' already exists"
             catalog.create(Table(c.table, fields, kind, key, pair))
         if c.path is None:
             return f"Table '{c.table}' created"
@@ -223,7 +243,10 @@ class Session:
     def _insert(self, i: n.Insert) -> None:
         """Rows wait until another statement or the program's end, and are then written together; what
         is wrong with a row is found at once."""
-        table = self._need_catalog().table(i.table)
+        catalog = self._need_catalog()
+        if i.table not in self._pending:
+            catalog.refresh()
+        table = catalog.table(i.table)
         with self.journal.transaction("INSERT", i.table):
             if len(i.values) != len(table.fields):
                 raise AnalysisError(f"INSERT: {len(i.values)} values for {len(table.fields)} columns")
@@ -240,6 +263,7 @@ class Session:
     def _delete(self, d: n.Delete) -> int:
         catalog = self._need_catalog()
         self._flush()
+        catalog.refresh()
         catalog.table(d.table)
         with self.journal.transaction("DELETE", d.table) as txn, self.locks.writing(d.table, txn):
             source = self._source(d.table, None)
@@ -250,5 +274,6 @@ class Session:
     ) -> int:
         """Load a CSV file; see ``csv_source.ingest``."""
         self._flush()
+        self._refreshed()
         with self.journal.transaction("INGEST", table) as txn, self.locks.writing(table, txn):
             return csv_source.ingest(self._need_catalog(), path, table, progress, spatial_columns, multi_line)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.errors import AnalysisError
-from granary.functions.types import Field, coerced, inferred
+from granary.functions.types import Field, coerced, field_of_samples
 from granary.sources.catalog import Catalog, Table
 
+#: The rows whose lengths count, the rows that decide the types, and the characters of a name.
 SAMPLE_ROWS, TYPED_ROWS, NAME_CHARS = 100, 20, 30
 
 
@@ -25,16 +26,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
 
 
 def infer_fields(raw: DataFrame) -> list[tuple[str, Field]]:
-    """(column of the file, field) from the first rows; columns without a name are left out."""
-    sample = [[v or "" for v in r] for r in raw.limit(SAMPLE_ROWS).collect()]
-    out = []
-    for i, header in enumerate(raw.columns):
-        name = header[:NAME_CHARS].strip()
-        if not name or name.startswith("_c") and name[2:].isdigit():
-            continue
-        typed = [v.strip() for v in (r[i] for r in sample[:TYPED_ROWS]) if v.strip()]
-        out.append((header, inferred(name, typed, max((len(r[i]) for r in sample), default=10))))
-    return out
+    """(column of the file, field) from the first rows; columns without a name are left out. One small
+    aggregate over the sample decides for all columns at once."""
+    named = [(header, name) for header in raw.columns if (name := header[:NAME_CHARS].strip()) and not (name.startswith("_c") and name[2:].isdigit())]
+    if not named:
+        return []
+    rows = with_row_numbers(raw.select(*[F.coalesce(_column(h), F.lit("")).alias(f"v{i}") for i, (h, _) in enumerate(named)]).limit(SAMPLE_ROWS), "__at")
+    found = rows.agg(*[field_of_samples(F.col(f"v{i}"), F.col("__at") <= TYPED_ROWS).alias(f"f{i}") for i in range(len(named))]).first()
+    return [(header, Field(name, found[i]["type"], found[i]["size"])) for i, (header, name) in enumerate(named)]
 
 
 def _column(header: str):
@@ -50,8 +49,9 @@ def ingest(
     multi_line: bool = True,
 ) -> int:
     """Load a CSV file with a header. A table that does not exist is created from its first rows; one
-    that does takes the columns it has, by name, and zeros or empty strings for those it lacks. Returns
-    the number of rows; a file without rows creates nothing."""
+    that does takes the columns it has, by name, and zeros or empty strings for those it lacks. progress is
+    called with the rows loaded so far and all rows, several times while a long load runs, and at its end.
+    Returns the number of rows; a file without rows creates nothing."""
     raw = read_csv(catalog.spark, path, multi_line=multi_line)
     if not raw.columns or raw.isEmpty():
         if progress:
@@ -73,10 +73,7 @@ def ingest(
         headers = {h[:NAME_CHARS].strip(): h for h in reversed(raw.columns)} | {h: h for h in raw.columns}
         by_field = {f.name: headers[f.name] for f in fields if f.name in headers}
     rows = raw.select(*[coerced(_column(by_field[f.name]) if f.name in by_field else F.lit(""), f).alias(f.name) for f in fields])
-    n = catalog.append(table, rows)
-    if progress:
-        progress(n, n)
-    return n
+    return catalog.append(table, rows, progress=progress)
 
 
 def with_row_numbers(df: DataFrame, name: str = "ID") -> DataFrame:

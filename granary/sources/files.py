@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -58,8 +60,25 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         """Write beside the file, then move over it: readers see the old or the new text."""
+        self._moved(path, text, "OVERWRITE")
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that does not exist yet. False if there is one already, which then stays. Of
+        several that try at once one succeeds, if the store renames atomically, as HDFS does."""
         at, fs = self._at(path)
-        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        if fs.exists(at):
+            return False
+        try:
+            self._moved(path, text, "NONE")
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def _moved(self, path: str, text: str, how: str) -> None:
+        at, fs = self._at(path)
+        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
         stream = fs.create(beside, True)
         try:
             self.jvm.org.apache.commons.io.IOUtils.write(text, stream, "UTF-8")
@@ -67,5 +86,9 @@ class Files:
             stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(beside, at, options)
+        options[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, how)
+        try:
+            context.rename(beside, at, options)
+        except Py4JJavaError:
+            fs.delete(beside, False)
+            raise

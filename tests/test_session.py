@@ -284,3 +284,54 @@ def test_journal(session):
     assert [x["status"] for x in lines if x["operation"] == "DELETE"] == ["BEGIN", "COMMIT"]
     assert lines[-1]["status"] == "ROLLBACK" and lines[-1]["table"] == "T"
     assert all(x["txn"] for x in lines)
+
+
+def test_sessions_that_write_at_once_lose_nothing(spark, tmp_path):
+    """Catalogs without a common lock, as in different processes: every change finds the other's."""
+    from granary.sources import catalog
+
+    path = f"file://{tmp_path}/w"
+    one, two = Session(spark, path), Session(spark, path)
+    run(one, "CREATE TABLE A (id INT)")
+    run(two, "CREATE TABLE B (id INT); INSERT INTO A VALUES (1)")
+    run(one, "INSERT INTO A VALUES (2); INSERT INTO B VALUES (3)")
+    assert two.execute("CREATE TABLE A (id INT)").message == "Table 'A' already exists"
+    assert sorted(values(run(two, "SELECT id FROM A"))) == [(1,), (2,)] and values(run(one, "SELECT id FROM B")) == [(3,)]
+    # A delete whose files another session has replaced in between begins anew.
+    plain = catalog.Catalog._swap
+    seen = []
+
+    def late(self, name, old, new):
+        if self is one.catalog and not seen:
+            seen.append(True)
+            two.catalog.compact("A")
+        return plain(self, name, old, new)
+
+    catalog.Catalog._swap = late
+    try:
+        assert run(one, "DELETE FROM A WHERE id = 1").message == "1 row(s) deleted from 'A'"
+    finally:
+        catalog.Catalog._swap = plain
+    assert seen and values(run(two, "SELECT id FROM A")) == [(2,)]
+    manifests = one.catalog.files.children(one.catalog.manifests)
+    for i in range(catalog.OLD_MANIFESTS + 5):
+        run(one, f"INSERT INTO A VALUES ({i})")
+    assert len(one.catalog.files.children(one.catalog.manifests)) <= catalog.OLD_MANIFESTS + 1 and manifests
+
+
+def test_results_come_up_to_a_default(session, monkeypatch):
+    from granary import session as module
+
+    run(session, "CREATE TABLE P (id INT, x FLOAT, y FLOAT) INDEX (RTREE x)")
+    run(session, "".join(f"INSERT INTO P VALUES ({i}, {i}, 0);" for i in range(9)))
+    found = session.execute("SELECT id FROM P WHERE (x, y) IN (POINT(0, 0), RADIUS 99)", fetch=4)
+    assert len(found.rows) == 4 and found.more and len(found.spatial["results"]) == 4
+    assert module.FETCH == 100_000 and not session.execute("SELECT id FROM P", fetch=None).more
+
+
+def test_locks_are_shared_by_workspace(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    one, two = Session(spark, path), Session(spark, path + "/")
+    with one.locks.writing("t"):
+        assert one.locks._locks["t"] is two.locks._locks["t"]
+    assert Session(spark, f"file://{tmp_path}/v").locks._locks.get("t") is None

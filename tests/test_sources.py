@@ -116,3 +116,60 @@ def test_external_nulls(spark):
     assert [r.id for r in s.sql_df("SELECT id FROM t ORDER BY id").collect()] == [1, 3, None]
     assert s.sql_df("SELECT id FROM t WHERE v != 'a'").count() == 1
     assert s.sql_df("SELECT * FROM t").select(F.count("*")).first()[0] == 3
+
+
+def test_hash_of_keys_is_that_of_the_layout(session, spark):
+    """What lookups compute on the driver is where the layout puts a key."""
+    from granary.sources import layout
+
+    for kind, spark_type, keys in (("INTEGER", "int", [0, -1, 7, 2**31 - 1]), ("BIGINT", "bigint", [0, -(2**63), 12345678901]), ("STRING", "string", ["", "a", "é😀", "x" * 100])):
+        expected = [r.b for r in spark.createDataFrame([(k,) for k in keys], f"k {spark_type}").select(layout.bucket_of(F.col("k"), 64).alias("b")).collect()]
+        assert [session.catalog._hash(k, kind) % 64 for k in keys] == expected
+
+
+def test_cut_bytes_keeps_whole_characters(spark):
+    from granary.functions.types import cut_bytes, stripped
+
+    texts = ["abc", "abcdé", "abcé", "ab😀", "ab�", "a�bc�", "😀😀", "", "é" * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size in (1, 2, 4, 5, 6):
+        got = [r[0] for r in df.select(cut_bytes(F.col("t"), size)).collect()]
+        assert got == [t.encode()[:size].decode(errors="ignore") for t in texts]
+    spaced = [" a ", "\t\na b ", " x　", "\x1c", "  ", "", "a\x85", "\x0ba\x0c", "a  b" + " " * 1000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in spaced], "t string").select(stripped(F.col("t"))).collect()]
+    assert got == [t.strip() for t in spaced]
+
+
+def test_inferred_types_by_brute_force(spark, tmp_path):
+    """Columns of random values against one value after the other, as Python reads them."""
+    import random
+
+    from granary.sources.csv_source import infer_fields
+
+    rng = random.Random(3)
+    pool = ["1", "-5", " 7 ", "+3", "2147483648", "-2147483649", "1_000", "1.5", ".5", "2.", "1e5", "-inf", "nan", "x", "1.2.3", "", " ", "é" * 30, "y" * 200, "0x1", "٣"[:0] + "12a"]
+
+    def expected(values):
+        kind = "INTEGER"
+        for v in (v.strip() for v in values[:20]):
+            if not v:
+                continue
+            try:
+                if not -(1 << 31) <= int(v) < 1 << 31:
+                    kind = "BIGINT" if kind == "INTEGER" else kind
+            except ValueError:
+                try:
+                    float(v)
+                    kind = "FLOAT"
+                except ValueError:
+                    return "STRING", min(max(max(map(len, values[:100])) + 4, 20), 120)
+        return kind, None
+
+    columns = []
+    for _ in range(40):
+        some = rng.sample(pool, rng.randint(1, 5))
+        columns.append([rng.choice(some) for _ in range(130)])
+    rows = list(zip(*columns, strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(40))).coalesce(1)
+    got = [(f.type, f.size) for _, f in infer_fields(df)]
+    assert got == [expected(c) for c in columns]
