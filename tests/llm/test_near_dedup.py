@@ -210,3 +210,19 @@ def test_rows_that_share_an_id_are_one_document(spark):
     rows = [(1, a[0]), (1, b[0]), (2, a[0] + " more"), (3, b[0] + " more"), (4, "something else"), (4, a[0])]
     got = nd.find(spark.createDataFrame(rows, "doc_id long, text string"), nd.Config(3, 85, 20)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1)]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Nodes in a row, with ids in any order: rounds grow with the logarithm of their number."""
+    from granary.llm import components as module
+
+    written = []
+    plain = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name, narrow=False: written.append(name) or plain(df, name, narrow))
+    for n in (300, 3_000):
+        ids = list(range(n))
+        random.Random(n).shuffle(ids)
+        written.clear()
+        got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+        assert {r.node for r in got} == set(ids) and {r.label for r in got} == {0}
+        assert written.count("labels") - 1 <= 2 + math.log2(n), written
