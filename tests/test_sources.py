@@ -173,3 +173,29 @@ def test_inferred_types_by_brute_force(spark, tmp_path):
     df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(40))).coalesce(1)
     got = [(f.type, f.size) for _, f in infer_fields(df)]
     assert got == [expected(c) for c in columns]
+
+
+@pytest.mark.parametrize("kind", ["HASH", "BTREE"])
+def test_layouts_grow_and_split_hot_keys(session, spark, monkeypatch, kind):
+    """Parts of different sizes have different numbers of folders, and a key with most of the rows many files."""
+    from granary.sources import layout
+
+    monkeypatch.setattr(layout, "ROWS_PER_FILE", 10)
+    monkeypatch.setattr(layout, "BUCKETS", 2)
+    session.execute(f"CREATE TABLE t (id INT, v INT) INDEX ({kind} id)")
+    for n in (5, 40, 300):
+        session.catalog.append("t", spark.range(n).selectExpr("CAST(IF(id % 3 = 0, 7, id) AS INT) AS id", "CAST(id AS INT) AS v"))
+    if kind == "HASH":
+        assert [p.buckets for p in session.catalog.table("t").parts] == [2, 4, 32]
+    expected = [(7 if i % 3 == 0 else i, i) for n in (5, 40, 300) for i in range(n)]
+    for key in (1, 7, 8, 299, 1000):
+        rows = session.sql_df(f"SELECT id, v FROM t WHERE id = {key}").collect()
+        assert sorted(map(tuple, rows)) == sorted(r for r in expected if r[0] == key)
+        assert session.lookup("t", key).count() == any(r[0] == key for r in expected)
+    assert session.execute("DELETE FROM t WHERE id = 7").message == f"{sum(r[0] == 7 for r in expected)} row(s) deleted from 't'"
+    session.catalog.compact("t")
+    assert sorted(map(tuple, session.table("t").collect())) == sorted(r for r in expected if r[0] != 7)
+    if kind == "BTREE":
+        session.catalog.append("t", spark.range(400).selectExpr("5 AS id", "CAST(id AS INT) AS v"))
+        last = session.catalog.table("t").parts[-1]
+        assert len(session.catalog._files(last)) > 3
