@@ -16,7 +16,8 @@ from granary.plans.nodes import Name, Near
 from granary.plans.parser import parse
 from granary.services import DeadlockError, Journal, SharedLock, TableLocks, summary
 from granary.session import Session
-from granary.sources import layout
+from granary.functions.types import Field
+from granary.sources import layout, pages
 from granary.sources.csv_source import load_points, seed_demo, with_row_numbers
 from granary.sources.files import shared_root
 
@@ -616,3 +617,26 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report.generate(files, [f"{path}/none.csv", f"{path}/m.csv"], f"{path}/report.md")
     lines = [x for x in files.read(f"{path}/report.md").split("\n") if x.startswith("* ") or "█" in x]
     return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+_PAGED = [Field("id", "INTEGER"), Field("name", "STRING", 12), Field("far", "BIGINT"), Field("share", "FLOAT")]
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    path = f"{_workspace(spark).catalog.path}/nation.bin"
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS id", "n_name AS name", "n_nationkey * 10000000000 AS far", "n_regionkey / 4 AS share")
+    return path, pages.write_pages(nations.orderBy("id"), _PAGED, path)
+
+
+@_query("page_file", "SELECT n_nationkey AS id, substr(n_name, 1, 12) AS name, n_nationkey * 10000000000 AS far, CAST(n_regionkey / 4 AS REAL) AS share FROM nation")
+def _page_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, n = _paged(spark, sf_dir)
+    return pages.read_pages(spark, path, _PAGED, n)
+
+
+@_query("page_views", "SELECT * FROM (VALUES ('0', '00 00 00 00 4E 41 54 49 4F 4E 5F 30 00 00 00 00', '....NATION_0....'), ('id', '0', '3'), ('name', '4', '15'), ('far', '16', '23'), ('share', '24', '27')) v(a, b, c)")
+def _page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of a page as it lies there, and where each field lies in a record."""
+    path, _ = _paged(spark, sf_dir)
+    line = pages.hex_view(spark, path, 0).where("offset = 0").selectExpr("CAST(offset AS STRING) AS a", "hex AS b", "ascii AS c")
+    return line.unionByName(pages.byte_map(spark, _PAGED).selectExpr("field AS a", "CAST(first AS STRING) AS b", "CAST(last AS STRING) AS c"))

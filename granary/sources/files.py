@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -58,6 +60,16 @@ class Files:
         finally:
             stream.close()
 
+    @contextmanager
+    def writing(self, path: str) -> Iterator[Callable[[bytes], None]]:
+        """A function that adds bytes to a new file, which takes the place of an old one."""
+        at, fs = self._at(path)
+        stream = fs.create(at, True)
+        try:
+            yield lambda raw: stream.write(bytearray(raw), 0, len(raw))
+        finally:
+            stream.close()
+
     def write(self, path: str, text: str) -> None:
         """Write beside the file, then move over it: readers see the old or the new text."""
         self._moved(path, text, "OVERWRITE")

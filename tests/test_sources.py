@@ -199,3 +199,31 @@ def test_layouts_grow_and_split_hot_keys(session, spark, monkeypatch, kind):
         session.catalog.append("t", spark.range(400).selectExpr("5 AS id", "CAST(id AS INT) AS v"))
         last = session.catalog.table("t").parts[-1]
         assert len(session.catalog._files(last)) > 3
+
+
+def test_page_files(spark, tmp_path):
+    """Records against Python's struct, over several pages, and back."""
+    import struct
+
+    from granary.errors import AnalysisError
+    from granary.functions.types import Field
+    from granary.sources import pages
+
+    fields = [Field("a", "INTEGER"), Field("b", "BIGINT"), Field("c", "FLOAT"), Field("s", "STRING", 7)]
+    rows = [(i - 500, -i << 40, i / 3, f"é{i}😀xyz") for i in range(1000)] + [(0, 0, 0.0, "")]
+    df = spark.createDataFrame(rows, "a int, b bigint, c double, s string").repartition(3).orderBy("a", "b")
+    path = f"file://{tmp_path}/p.bin"
+    assert pages.write_pages(df, fields, path) == 1001
+    raw = (tmp_path / "p.bin").read_bytes()
+    expected = sorted((a, b, struct.unpack("f", struct.pack("f", c))[0], s.encode()[:7].decode(errors="ignore")) for a, b, c, s in rows)
+    per_page = 4096 // 23
+    assert len(raw) == 4096 * -(-1001 // per_page)
+    at = [4096 * (i // per_page) + 23 * (i % per_page) for i in range(1001)]
+    unpacked = [struct.unpack("!iqf7s", raw[x : x + 23]) for x in at]
+    assert [(a, b, c, s.rstrip(b"\0").decode()) for a, b, c, s in unpacked] == expected
+    assert [tuple(r) for r in pages.read_pages(spark, path, fields, 1001).collect()] == expected
+    assert pages.read_pages(spark, path, fields).count() == 1000  # the record of zeros looks like an empty slot
+    empty = f"file://{tmp_path}/e.bin"
+    assert pages.write_pages(df.limit(0), fields, empty) == 0 and pages.read_pages(spark, empty, fields).count() == 0
+    with pytest.raises(AnalysisError):
+        pages.record_type([Field("s", "STRING", 5000)])
