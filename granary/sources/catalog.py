@@ -40,6 +40,8 @@ COMPACT_AFTER = 50
 TIERS = (50_000, 2_500_000, 125_000_000)
 #: Manifests of older versions that stay for readers which have just found them.
 OLD_MANIFESTS = 20
+#: Tables of the hash layout whose folders are listed once, not at each lookup.
+KNOWN_FOLDERS = 4096
 DEFAULT_WORKSPACE = "default_testing"
 _GUARDS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
@@ -120,6 +122,7 @@ class Catalog:
         self.tables: dict[str, Table] = {}
         self.version = 0
         self._scans: dict[str, tuple[Table, DataFrame]] = {}
+        self._known: dict[str, tuple[Table, list[tuple[int, DataFrame]]]] = {}
         #: What this catalog has written: files, bytes and rows.
         self.written = {"files": 0, "bytes": 0, "rows": 0}
         self.refresh()
@@ -230,7 +233,15 @@ class Catalog:
         return spark.sql.catalyst.expressions.XXH64.hashUTF8String(spark.unsafe.types.UTF8String.fromBytes(bytearray(raw)), 42)
 
     def _folders(self, table: Table, hashed: int) -> DataFrame:
-        """The rows of the one folder of each part that a key may be in."""
+        """The rows of the one folder of each part that a key may be in. What Spark knows of a small table's
+        folders is kept and pruned; of a large one only the folder itself is listed."""
+        if sum(p.buckets for p in table.parts) <= KNOWN_FOLDERS:
+            known, frames = self._known.get(table.name, (None, []))
+            if known is not table:
+                frames = [(p.buckets, self._scan(table, [p])) for p in table.parts]
+                self._known[table.name] = table, frames
+            found = [df.where(F.col(layout.BUCKET) == hashed % buckets) for buckets, df in frames]
+            return reduce(DataFrame.unionByName, found).drop(layout.BUCKET)
         paths = []
         for part in table.parts:
             folder = f"{layout.BUCKET}={hashed % part.buckets}"
