@@ -167,3 +167,33 @@ def test_shared_lock():
         pass
     write()
     assert seen[-1] == "write"
+
+
+def test_row_groups_that_a_search_needs(spark):
+    """Rectangles of random points: no hit of a radius or of the nearest k lies in one that is left out."""
+    import math
+    import random
+
+    from granary.plans.nodes import Name, Near
+
+    rng = random.Random(5)
+    groups, points = [], []
+    for g in range(40):
+        x, y = rng.uniform(-50, 50), rng.uniform(-50, 50)
+        own = [(x + rng.uniform(0, 9), y + rng.uniform(0, 9)) for _ in range(rng.randint(1, 20))]
+        points += [(g, *p) for p in own]
+        xs, ys = zip(*own, strict=True)
+        groups.append((f"f{g}", 0, len(own), min(xs), max(xs), min(ys), max(ys)))
+    df = spark.createDataFrame(groups, "file string, row_group int, rows bigint, low_x double, high_x double, low_y double, high_y double")
+    for _ in range(4):
+        cx, cy = rng.uniform(-60, 60), rng.uniform(-60, 60)
+        far = sorted((math.dist((cx, cy), p[1:]), p[0]) for p in points)
+        for near, hits in (
+            (Near((Name("x"), Name("y")), cx, cy, radius=15.0), {g for d, g in far if d <= 15}),
+            (Near((Name("x"), Name("y")), cx, cy, k=12), {g for _, g in far[:12]}),
+            (Near((Name("x"), Name("y")), cx, cy, k=10**6), {g for _, g in far}),
+        ):
+            found = spatial.needed(df, near, "x", "y").collect()
+            needed = {int(r.file[1:]) for r in found if r.needed}
+            assert len(found) == 40 and hits <= needed and (near.k == 10**6 or len(needed) < 40)
+            assert all(abs(r.area - (r.high_x - r.low_x) * (r.high_y - r.low_y)) < 1e-9 for r in found)
