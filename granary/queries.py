@@ -382,13 +382,14 @@ def _reorganise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.table("t").withColumn("parts", F.lit(len(session.catalog.table("t").parts)))
 
 
-@_query("small_parts_merge", "SELECT count(*) + 52 AS n, 4 AS parts, true AS first_stays FROM nation")
+@_query("small_parts_merge", "SELECT count(*) + 7 AS n, 4 AS parts, true AS first_stays FROM nation")
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty small additions become one; a large part is left alone."""
+    """Small additions become one; a large part is left alone."""
     session = _with_nations(spark, sf_dir)
     _as_large(session, "t")
     first = session.catalog.table("t").parts[0].path
-    for i in range(52):
+    session.catalog.compact_after = 5
+    for i in range(7):
         session.catalog.append_values("t", [(100 + i, "x", 0)])
     parts = session.catalog.table("t").parts
     rows = session.table("t").agg(F.count(F.lit(1)).alias("n"))

@@ -123,6 +123,8 @@ class Catalog:
         self.version = 0
         self._scans: dict[str, tuple[Table, DataFrame]] = {}
         self._known: dict[str, tuple[Table, list[tuple[int, DataFrame]]]] = {}
+        #: How many additions of a tier are merged, if not COMPACT_AFTER.
+        self.compact_after: int | None = None
         #: What this catalog has written: files, bytes and rows.
         self.written = {"files": 0, "bytes": 0, "rows": 0}
         self.refresh()
@@ -329,7 +331,7 @@ class Catalog:
         self._update(name, lambda t: replace(t, parts=[*t.parts, part], marks=t.marks | marks))
         for tier in range(len(TIERS)):
             found = [p for p in self.table(name).parts if p.tier == tier]
-            if len(found) >= COMPACT_AFTER:
+            if len(found) >= (self.compact_after or COMPACT_AFTER):
                 try:
                     self._merge(name, found)
                 except Conflict:
