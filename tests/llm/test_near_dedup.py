@@ -178,7 +178,7 @@ def test_work_on_templates_grows_with_their_number(spark, monkeypatch):
     plain = nd._linked
     monkeypatch.setattr(nd, "_linked", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
     work = []
-    for n in (400, 800, 1600, 3200):
+    for n in (500, 1000, 2000):
         seen.clear()
         rows = [(i, t) for i, t in enumerate(template(n, 100, 18, n))]
         got = found(spark.createDataFrame(rows, "doc_id long, text string"), nd.Config(3, 85, 20))
