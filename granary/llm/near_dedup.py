@@ -486,9 +486,9 @@ def _verified(docs: DataFrame, members: DataFrame, config: Config, most_rows: in
     sets = materialise(_with_sets(docs, labels.select("id", "grp", "blocks", "block"), config), "sets")
 
     def links_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """rows: keys, id, n, label, query."""
+        """rows, of groups of several blocks: keys, id, n, label, query."""
         n = rows.agg(F.sum("n")).first()[0] or 0
-        tasks = rows.select("id", *keys, "label", "query").join(sets.select("id", "hashes", "registers"), "id")
+        tasks = rows.select("id", *keys, "label", "query").join(sets.where("blocks > 1").select("id", "hashes", "registers"), "id")
         return materialise(_linked(tasks, config, keys, n), "links", narrow=True)
 
     n = labels.agg(F.sum("n")).first()[0] or 0
