@@ -53,11 +53,11 @@ def schema_of(fields: list[Field]) -> T.StructType:
 
 
 #: What is stripped from both ends of a value: the white space of Unicode.
-_SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
+    return F.trim(text, F.lit(_SPACE))
 
 
 def cut_bytes(text: Column, size: int) -> Column:

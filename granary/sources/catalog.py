@@ -300,14 +300,8 @@ class Catalog:
 
     def _note(self, folder: str, rows: int) -> None:
         """Count what has been written."""
-        sizes, folders = [], [folder]
-        while folders:
-            for n, is_folder, size in self.files.children(f"{self.path}/{(below := folders.pop())}"):
-                if is_folder:
-                    folders.append(f"{below}/{n}")
-                elif n.endswith(".parquet"):
-                    sizes.append(size)
-        for k, v in (("files", len(sizes)), ("bytes", sum(sizes)), ("rows", rows)):
+        files, size = self.files.total(f"{self.path}/{folder}")
+        for k, v in (("files", files), ("bytes", size), ("rows", rows)):
             self.written[k] += v
 
     def append_values(self, name: str, rows: Sequence[Sequence[object]]) -> None:
