@@ -383,14 +383,18 @@ def _rows(table: Node) -> list[list[list[Node]]]:
 
 def _grid(rows: list[list[Node]]) -> list[list[tuple[int, Node]]]:
     """Each row's cells with the columns in which they begin; what spans rows pushes the cells of later rows."""
-    out, spans = [], []  # spans: (first column, column after the last, last row) of cells from rows above
+    out: list[list[tuple[int, Node]]] = []
+    spans: list[tuple[int, int, int]] = []  # first column, column after the last, last row of cells from rows above
+    runs, min_last = _taken(spans)  # the columns that they take, and the first row in which one of them ends
     for r, row in enumerate(rows):
         placed, column, k = [], 0, 0
-        spans = [s for s in spans if s[2] >= r]
+        if row and spans and min_last < r:
+            spans = [s for s in spans if s[2] >= r]
+            runs, min_last = _taken(spans)
         fresh = []
         for cell in row:
-            while k < len(spans) and spans[k][0] <= column:
-                column = max(column, spans[k][1])
+            while k < len(runs) and runs[k][0] <= column:
+                column = max(column, runs[k][1])
                 k += 1
             placed.append((column, cell))
             width = min(max(1, _number(cell.attributes.get("colspan"), 1)), MAX_COLSPAN)
@@ -400,10 +404,22 @@ def _grid(rows: list[list[Node]]) -> list[list[tuple[int, Node]]]:
             column += width
         if fresh:
             spans = sorted(spans + fresh)
+            runs, min_last = _taken(spans)
         out.append(placed)
     return out
 
 
+def _taken(spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], int]:
+    """The runs of columns that sorted spans take together, and the row after which the first of them ends."""
+    runs: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if runs and start <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(runs[-1][1], end)
+        else:
+            runs.append((start, end))
+    return runs, min((s[2] for s in spans), default=-1)
+
+
 def _table(node: Node, out: _Lines) -> None:
     # What is in no row comes first, then captions.
     _render(node.loose, out, False)
