@@ -65,6 +65,22 @@ def test_row_numbers(spark):
     assert with_row_numbers(spark.range(0)).count() == 0
 
 
+def test_row_numbers_of_a_sort(spark):
+    """A sort draws its ranges from a sample, another one each time it runs."""
+    settings = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "3", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("id"))
+        got = with_row_numbers(df.orderBy("id"), "n")
+        assert got.columns == ["n", "id"]
+        assert got.count() == 20_000 and got.where("n <> id + 1").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_seed(session, tmp_path):
     texts = {
         "Paises": "country,region\nPeru,America\nChad,Africa\n",
