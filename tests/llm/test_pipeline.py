@@ -60,6 +60,17 @@ def test_a_failed_run_leaves_nothing(spark, sf_dir, monkeypatch):
     assert common.written() == before
 
 
+def test_a_grown_heap_is_collected(spark, monkeypatch):
+    """As a table is written, and only if the driver's heap has grown."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for share, collected in ((0.0, True), (2.0, False)):
+        monkeypatch.setattr(common, "HEAP_SHARE", share, raising=False)
+        before = whole()
+        assert common.materialise(spark.range(5), "five").count() == 5
+        assert (whole() > before) == collected
+
+
 def test_odd(spark, odd, none):
     for df in (odd, none):
         docs = df
